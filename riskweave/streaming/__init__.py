@@ -1,0 +1 @@
+"""Intentionally empty: every capability covered here works on closed, historical tables."""
