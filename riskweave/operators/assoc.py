@@ -12,6 +12,12 @@ from riskweave.operators.profile import _per_column
 from riskweave.operators.ranks import cut_points, exact_quantiles, prefix_sums, unpivot
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pairwise-complete correlation as an aggregate; NULL when either side is constant."""
+    spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def welch_t(df: DataFrame, columns: list[str], target: str, medians: bool = True) -> DataFrame:
     """Class means, medians, difference, Welch t, degrees of freedom and p per column.
 
@@ -24,11 +30,11 @@ def welch_t(df: DataFrame, columns: list[str], target: str, medians: bool = True
         f"{name}{k}": (lambda c, f=f, k=k: of_class(f, c, k))
         for k in (0, 1)
         for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))})
-    e0, e1 = F.col("var0") / F.col("n0"), F.col("var1") / F.col("n1")
+    e0, e1 = (F.try_divide(F.col(f"var{k}"), F.col(f"n{k}")) for k in (0, 1))
     rows = (rows.withColumn("difference", F.col("mean1") - F.col("mean0"))
-            .withColumn("t", F.col("difference") / F.sqrt(e0 + e1))
-            .withColumn("df", (e0 + e1) ** 2 / (e0 ** 2 / (F.col("n0") - 1)
-                                               + e1 ** 2 / (F.col("n1") - 1)))
+            .withColumn("t", F.try_divide(F.col("difference"), F.sqrt(e0 + e1)))
+            .withColumn("df", F.try_divide((e0 + e1) ** 2, F.try_divide(
+                e0 ** 2, F.col("n0") - 1) + F.try_divide(e1 ** 2, F.col("n1") - 1)))
             .withColumn("p", t_two_sided("t", "df"))
             .select("variable", "mean0", "mean1", "difference", "t", "df", "p"))
     if not medians:
@@ -60,10 +66,10 @@ def mann_whitney(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     n0 = F.col("total") - F.col("n1")
     n0n1 = n0 * F.col("n1")
     larger = F.greatest(F.col("u"), n0n1 - F.col("u"))
-    sigma = F.sqrt(n0n1 / 12 * (F.col("total") + 1 - F.col("ties")
-                                / (F.col("total") * (F.col("total") - 1))))
-    return (sums.withColumn("auc", F.col("u") / n0n1)
-            .withColumn("z", (larger - n0n1 / 2 - 0.5) / sigma)
+    sigma = F.sqrt(n0n1 / 12 * (F.col("total") + 1 - F.try_divide(
+        F.col("ties"), F.col("total") * (F.col("total") - 1))))
+    return (sums.withColumn("auc", F.try_divide(F.col("u"), n0n1))
+            .withColumn("z", F.try_divide(larger - n0n1 / 2 - 0.5, sigma))
             .withColumn("p", F.least(F.lit(1.0), F.when(F.col("z") > 0, normal_two_sided("z"))
                                      .otherwise(1.0)))
             .select("variable", "u", "auc", "z", "p"))
@@ -71,10 +77,10 @@ def mann_whitney(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def point_biserial(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Correlation with the 0/1 target, its t statistic and p, skipping missing values."""
-    rows = _per_column(df, columns, n=F.count, r=lambda c: F.corr(
+    rows = _per_column(df, columns, n=F.count, r=lambda c: correlation(
         F.col(c), F.col(target).cast("double")))
     dof = F.col("n") - 2
-    return (rows.withColumn("t", F.col("r") * F.sqrt(dof / (1 - F.col("r") ** 2)))
+    return (rows.withColumn("t", F.col("r") * F.sqrt(F.try_divide(dof, 1 - F.col("r") ** 2)))
             .withColumn("p", t_two_sided("t", dof.cast("double"))))
 
 
@@ -157,7 +163,7 @@ def missing_vs_target(df: DataFrame, columns: list[str], target: str) -> DataFra
 def pearson_pairs(df: DataFrame, columns: list[str], above: float | None = None) -> DataFrame:
     """Pairwise-complete correlation of every pair of columns, all from one aggregate."""
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = wide.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)])))
@@ -167,7 +173,7 @@ def pearson_pairs(df: DataFrame, columns: list[str], above: float | None = None)
 def nullity_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of missing flags; columns that are never or always missing have none."""
     flags = df.select(*[F.col(c).isNull().cast("double").alias(c) for c in columns])
-    return pearson_pairs(flags, columns).filter(F.col("r").isNotNull() & ~F.isnan("r"))
+    return pearson_pairs(flags, columns).filter(F.col("r").isNotNull())
 
 
 def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -186,4 +192,4 @@ def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("between"),
         F.sum(F.col("n") * F.col("v")).alias("within"))
         .select("category", "variable",
-                (F.col("between") / (F.col("between") + F.col("within"))).alias("eta2")))
+                F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta2")))

@@ -52,8 +52,9 @@ def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> Da
     steps = prefix_sums(hist, ["set"], "score", ["pos", "neg"], cut_points(wide, sets))
     parts = steps.select(
         "set", "score",
-        ((F.col("neg_before") + F.col("neg") / 2) / F.col("neg_total")).alias("of_pos"),
-        (1 - (F.col("pos_before") + F.col("pos") / 2) / F.col("pos_total")).alias("of_neg"))
+        F.try_divide(F.col("neg_before") + F.col("neg") / 2, F.col("neg_total")).alias("of_pos"),
+        (1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2, F.col("pos_total")))
+        .alias("of_neg"))
     rows = combos
     for s in sets:
         lookup = parts.filter(F.col("set") == s).select(
@@ -74,7 +75,8 @@ def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> Da
     entries = F.array(*[F.struct(
         F.lit(a).alias("set_1"), F.lit(b).alias("set_2"),
         (F.col(f"m_{a}") + 0.5).alias("auc_1"), (F.col(f"m_{b}") + 0.5).alias("auc_2"),
-        ((F.col(f"s{i}") - n * F.col(f"m_{a}") * F.col(f"m_{b}")) / (n - 1) / n).alias("cov"))
+        F.try_divide(F.col(f"s{i}") - n * F.col(f"m_{a}") * F.col(f"m_{b}"), (n - 1) * n)
+        .alias("cov"))
         for i, (a, b) in enumerate(pairs)])
     # per class: two rows with every pair, added up over the classes
     return (sums.select(F.col(label).alias("_y"), F.inline(entries))
@@ -108,7 +110,8 @@ def delong_pairs(cov: DataFrame) -> DataFrame:
             .select("set_1", "set_2", "auc_1", "auc_2", "delta",
                     (F.col("delta") - Z975 * F.col("se")).alias("delta_low"),
                     (F.col("delta") + Z975 * F.col("se")).alias("delta_high"), "z", "p",
-                    (F.col("cov") / F.sqrt(F.col("var_1") * F.col("var_2"))).alias("correlation")))
+                    F.try_divide(F.col("cov"), F.sqrt(F.col("var_1") * F.col("var_2")))
+                    .alias("correlation")))
 
 
 def holm(df: DataFrame, family: list[str], p: str, out: str = "p_holm",
@@ -158,8 +161,9 @@ def mcnemar(wide: DataFrame, pairs: list[tuple[str, str]], thresholds: Column,
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
     return (rows.withColumn("exact", F.col("b") + F.col("c") < 25)
             .withColumn("chi2", F.when(~F.col("exact"), (F.abs(b - c) - 1) ** 2 / (b + c)))
-            .withColumn("p", F.when(F.col("exact"), binomial_half_two_sided(b, b + c))
-                        .otherwise(chi2_sf("chi2", F.lit(1.0))))
+            .withColumn("p", F.coalesce(
+                chi2_sf("chi2", F.lit(1.0)),
+                binomial_half_two_sided(F.when(F.col("exact"), b), F.when(F.col("exact"), b + c))))
             .withColumn("error_1", (F.col("c") + F.col("d")) / n)
             .withColumn("error_2", (F.col("b") + F.col("d")) / n))
 

@@ -39,19 +39,20 @@ def _rates(steps: DataFrame) -> DataFrame:
     """Counts and rates when everything at or above the step's score is called positive."""
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    return steps.withColumns({"tp": tp, "fp": fp, "tpr": tp / F.col("pos_total"),
-                              "fpr": fp / F.col("neg_total"), "precision": tp / (tp + fp)})
+    return steps.withColumns({"tp": tp, "fp": fp, "tpr": F.try_divide(tp, F.col("pos_total")),
+                              "fpr": F.try_divide(fp, F.col("neg_total")),
+                              "precision": F.try_divide(tp, tp + fp)})
 
 
 def auc_of_steps() -> Column:
     """Probability that a positive outranks a negative, ties half, as an aggregate over steps."""
     wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2)
-    return F.sum(wins / F.col("pos_total") / F.col("neg_total"))
+    return F.sum(F.try_divide(F.try_divide(wins, F.col("pos_total")), F.col("neg_total")))
 
 
 def average_precision_of_steps() -> Column:
     """Sum over steps of recall gained times precision, as an aggregate over rated steps."""
-    return F.sum(F.col("pos") / F.col("pos_total") * F.col("precision"))
+    return F.sum(F.try_divide(F.col("pos"), F.col("pos_total")) * F.col("precision"))
 
 
 def auc(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -73,7 +74,8 @@ def pr_area_trapezoid(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     tp_above, fp_above = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     next_precision = F.when(tp_above + fp_above > 0, tp_above / (tp_above + fp_above)).otherwise(
         F.col("precision"))
-    piece = F.col("pos") / F.col("pos_total") * (F.col("precision") + next_precision) / 2
+    gained = F.try_divide(F.col("pos"), F.col("pos_total"))
+    piece = gained * (F.col("precision") + next_precision) / 2
     return steps.groupBy(*keys).agg(F.sum(piece).alias("pr_area"))
 
 

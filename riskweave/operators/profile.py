@@ -63,7 +63,7 @@ def univariate_profile(df: DataFrame, columns: list[str]) -> DataFrame:
                    (F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence")))
                    .alias("n_outliers")))
     return (moments.join(fences, "variable", "left").join(outside, "variable", "left")
-            .withColumn("pct_outliers", F.lit(100.0) * F.col("n_outliers") / F.col("n"))
+            .withColumn("pct_outliers", F.try_divide(F.lit(100.0) * F.col("n_outliers"), F.col("n")))
             .withColumn("pct_missing",
                         F.lit(100.0) * (F.col("n_rows") - F.col("n")) / F.col("n_rows"))
             .drop("n_rows"))
@@ -122,7 +122,7 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # two rows
     return counts.select(target, "n", percent(F.col("n"), total).alias("pct"),
-                         ((total - F.col("n")) / F.col("n")).alias("others_per_row"))
+                         (total / F.col("n") - 1).alias("others_per_row"))
 
 
 def split_audit(df: DataFrame, split: str, target: str) -> DataFrame:
@@ -169,7 +169,7 @@ def category_risk(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     overall = df.agg(F.avg(target).alias("m")).scalar()
     return (cells.withColumn("negatives", F.col("n") - F.col("positives"))
             .withColumn("rate", F.col("positives") / F.col("n"))
-            .withColumn("relative_risk", F.col("rate") / overall))
+            .withColumn("relative_risk", F.try_divide(F.col("rate"), overall)))
 
 
 def row_normalised_crosstab(df: DataFrame, columns: list[str], target: str) -> DataFrame:
