@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,14 +58,16 @@ def reference_summary(train: DataFrame, numeric: list[str], categorical: list[st
     return bins.unionByName(levels, allowMissingColumns=True)
 
 
-def _pick(shares: list[float], u: Column) -> Column:
-    """Zero-based index of the share interval a uniform falls into."""
-    cumulative = np.cumsum(shares)[:-1]
-    return reduce(lambda a, b: a + b, [(u >= float(c)).cast("int") for c in cumulative], F.lit(0))
-
-
-def _at(values: list, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+def _bins(found: list, numeric: bool) -> tuple[Column, Column]:
+    """Cumulative shares below each bin but the first, and the bins themselves, as constants."""
+    total = sum(r["n"] for r in found)
+    upto = np.cumsum([r["n"] / total for r in found])[:-1]
+    if numeric:
+        bins = [F.struct(F.lit(r["bin"]).alias("bin"), *[
+            F.lit(float(r[k])).alias(k) for k in ("mean", "sd", "lo", "hi")]) for r in found]
+    else:
+        bins = [F.struct(F.lit(r["level"]).alias("level")) for r in found]
+    return F.array(*[F.lit(float(c)) for c in upto]).cast("array<double>"), F.array(*bins)
 
 
 def perturb(instances: DataFrame, summary: list, numeric: list[str], categorical: list[str],
@@ -78,42 +78,52 @@ def perturb(instances: DataFrame, summary: list, numeric: list[str], categorical
     its train frequency and a numeric value around that bin's mean, kept inside the bin. All draws
     are hashes of (instance, seed, sample, feature), so a retried task repeats them.
     """
+    variables = [*numeric, *categorical]
+    found = {c: sorted((r for r in summary if r["variable"] == c),
+                       key=lambda r: r["bin"] if r["level"] is None else r["level"])
+             for c in variables}
     rows = instances.withColumn("_seed", seed).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    by_variable: dict[str, list] = {}
-    for r in summary:
-        by_variable.setdefault(r["variable"], []).append(r)
-    same, drawn, original = [], {}, F.col("_k") == 0
 
     def u(slot: int, draw: int) -> Column:
         return strong_uniform(F.col("id"), F.col("_seed"), F.col("_k"), F.lit(slot), F.lit(draw))
 
-    for slot, c in enumerate([*numeric, *categorical]):
-        found = sorted(by_variable[c], key=lambda r: r["bin"] if c in numeric else r["level"])
-        total = sum(r["n"] for r in found)
-        index = _pick([r["n"] / total for r in found], u(slot, 0))
+    # the uniform, the drawn bin and the value are separate projections: each is used repeatedly
+    rows = rows.withColumns({f"_u{i}": u(i, 0) for i in range(len(variables))})
+    picks = {}
+    for i, c in enumerate(variables):
+        upto, bins = _bins(found[c], c in numeric)
+        below = F.size(F.filter(upto, _reached(f"_u{i}")))
+        picks[f"_b{i}"] = F.element_at(bins, below + 1)
+    rows = rows.withColumns(picks)
+    same, drawn, original = [], {}, F.col("_k") == 0
+    for i, c in enumerate(variables):
+        pick = F.col(f"_b{i}")
         if c in numeric:
-            own = F.size(F.filter(F.array(*[F.lit(q) for q in found[0]["cuts"]]),
-                                  lambda q, c=c: q < F.col(c)))
-            bins = [r["bin"] for r in found]
-            normal = F.sqrt(-2 * F.log(F.greatest(u(slot, 1), F.lit(1e-300)))) * F.cos(
-                2 * F.pi() * u(slot, 2))
-            value = _at([r["mean"] for r in found], index) + normal * _at(
-                [r["sd"] for r in found], index)
-            value = F.least(_at([r["hi"] for r in found], index),
-                            F.greatest(_at([r["lo"] for r in found], index), value))
-            match = _at(bins, index) == own
+            normal = F.sqrt(-2 * F.log(F.greatest(u(i, 1), F.lit(1e-300)))) * F.cos(
+                2 * F.pi() * u(i, 2))
+            value = F.least(pick["hi"], F.greatest(pick["lo"], pick["mean"] + normal * pick["sd"]))
+            own = F.size(F.filter(F.array(*[F.lit(float(q)) for q in found[c][0]["cuts"]]),
+                                  _below(c)))
+            match = pick["bin"] == own
         else:
-            value = _at([r["level"] for r in found], index)
-            match = value == F.col(c).cast("string")
-            value = value.cast(instances.schema[c].dataType)
+            value = pick["level"].cast(instances.schema[c].dataType)
+            match = pick["level"] == F.col(c).cast("string")
         same.append(F.when(original, 1.0).otherwise(F.coalesce(match, F.lit(False)).cast("double")))
         drawn[c] = F.when(original, F.col(c)).otherwise(value)
-    others = [c for c in rows.columns if c not in drawn]
+    others = [c for c in [*instances.columns, "_seed", "_k"] if c not in drawn]
     return rows.select(*others, *[v.alias(c) for c, v in drawn.items()],
                        F.array(*same).alias("_z"))
 
 
+def _below(column: str):
+    return lambda cut: cut < F.col(column)
+
+
+def _reached(column: str):
+    return lambda cut: cut <= F.col(column)
+
+
 def conditions(instances: DataFrame, summary: list, numeric: list[str],
                categorical: list[str]) -> DataFrame:
     """Readable condition of every feature of every instance: 'x <= 3', '3 < x <= 5', 'c=A'."""

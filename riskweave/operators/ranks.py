@@ -140,29 +140,34 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         *keys, "_bucket", "_nb",
         F.coalesce(F.sum("_nb").over(earlier), F.lit(0)).alias("_start"),
         F.sum("_nb").over(Window.partitionBy(*keys)).alias("_total"))
-    start, size = F.col("_start"), F.col("_nb")
-    wanted = (placed.withColumn("_want", _targets(probs, F.col("_total"), method))
-              .withColumn("_want", F.filter(
-                  "_want", lambda t: (t["at"] >= start) & (t["at"] < start + size)
-                  & (t["share"] > 0)))
-              .filter(F.size("_want") > 0)
-              .select(*keys, "_bucket", "_start", "_want"))
+
+    def between(low: Column, high: Column) -> Column:
+        """Wanted order statistics at places low <= place < high."""
+        return F.filter(_targets(probs, F.col("_total"), method),
+                        lambda t: (t["at"] >= low) & (t["at"] < high) & (t["share"] > 0))
+
+    start = F.col("_start")
+    wanted = placed.filter(F.size(between(start, start + F.col("_nb"))) > 0).drop("_nb")
     # without keys beyond the variable names the table is bounded by the arguments alone
     if small_groups or not by:
         wanted = F.broadcast(wanted)
-    near = long.join(wanted.select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
-    hist = near.groupBy(*keys, "_bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-    inside = (Window.partitionBy(*keys, "_bucket").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    hist = hist.withColumn("_i", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    hit = hist.join(wanted, [*keys, "_bucket"])
-    low = F.col("_start") + F.col("_i")
-    picked = hit.select(*keys, "value", F.explode(F.filter(
-        "_want", lambda t: (t["at"] >= low) & (t["at"] < low + F.col("n")))).alias("t"))
-    per_prob = picked.groupBy(*keys, F.col("t.i").alias("_i")).agg(
-        F.sum(F.col("value") * F.col("t.share")).alias("_v"))
-    return per_prob.groupBy(*keys).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("q"))
+    # _start and _total depend on (keys, _bucket) and are carried through the grouping
+    near = long.join(wanted, [*keys, "_bucket"])
+    hist = near.groupBy(*keys, "_bucket", "_start", "_total", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    upto = (Window.partitionBy(*keys, "_bucket").orderBy("value")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hist = hist.withColumn("_end", start + F.sum("n").over(upto))
+    picked = hist.select(*keys, "value", F.explode(
+        between(F.col("_end") - F.col("n"), F.col("_end"))).alias("t"))
+    # at most two order statistics per probability
+    parts = picked.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("t.i").alias("i"), (F.col("value") * F.col("t.share")).alias("v"))).alias("_parts"))
+    quantile = F.transform(
+        F.sequence(F.lit(0), F.lit(len(probs) - 1)),
+        lambda i: F.aggregate(F.filter("_parts", lambda s: s["i"] == i), F.lit(0.0),
+                              lambda total, s: total + s["v"]))
+    return parts.select(*keys, quantile.alias("q"))
 
 
 def extreme_rows(df: DataFrame, group: str, measure: str, id_col: str, lowest: bool) -> DataFrame:

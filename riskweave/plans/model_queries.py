@@ -36,8 +36,17 @@ def split_table(spark, sf) -> DataFrame:
                                   space=float(MODULUS))
 
 
+_SPLIT: dict[tuple[str, str], DataFrame] = {}
+
+
 def with_split(spark, sf) -> DataFrame:
-    return split.attach_split(prepared(spark, sf), split_table(spark, sf))
+    """Base joined with the split, written once with a folder per part, so that train and test
+    reads are pruned and every later step sees the same membership."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPLIT:
+        _SPLIT[key] = materialise(split.attach_split(prepared(spark, sf), split_table(spark, sf)),
+                                  "with_split", ["split"])
+    return _SPLIT[key]
 
 
 @query("stratified_split", SPLIT_SQL + "SELECT id, target, split FROM split")
@@ -124,8 +133,8 @@ def impute_scale(spark, sf):
 
 
 def _fitted(spark, sf):
-    """Feature pipeline fitted on train, written split included, and the fitted model input."""
-    data = materialise(with_split(spark, sf), "with_split")
+    """Rows with their split, and the feature pipeline fitted on train."""
+    data = with_split(spark, sf)
     fitted = features.build_pipeline(ORDERS).fit(split.only(data, "train"))
     return data, fitted
 
@@ -155,7 +164,7 @@ def learned_parameter_gaps(spark, sf):
     """Scaler parameters of the fitted pipeline against plain aggregates."""
     data, fitted = _fitted(spark, sf)
     rows = split.only(data, "train")
-    learned = features.learned_parameters(fitted, _BLOCK)
+    learned = features.learned_parameters(spark, fitted, _BLOCK)
     direct = features.scaling_parameters(rows, _BLOCK)
     return equiv.parameter_differences(learned, direct, ["mean", "std"])
 
@@ -356,7 +365,7 @@ def score_store_roundtrip(spark, sf):
 @query("model_roundtrip")
 def model_roundtrip(spark, sf):
     """Feature pipeline and classifier saved as one model, loaded, and compared on the test rows."""
-    data = materialise(with_split(spark, sf), "with_split")
+    data = with_split(spark, sf)
     whole = features.build_pipeline(ORDERS, extra=[LogisticRegression(
         labelCol="target", maxIter=10)]).fit(split.only(data, "train"))
     path = scratch_path(spark, "model")
@@ -385,7 +394,7 @@ def model_comparison(spark, sf):
 
 def _explainable(spark, sf):
     """A fitted pipeline with classifier, its train rows and a few badly scored test rows."""
-    data = materialise(with_split(spark, sf), "with_split")
+    data = with_split(spark, sf)
     rows = split.only(data, "train")
     whole = features.build_pipeline(ORDERS, extra=[LogisticRegression(
         labelCol="target", maxIter=10)]).fit(rows)
@@ -450,7 +459,8 @@ def fit_time_ratios(spark, sf):
 @query("partition_variants")
 def partition_variants(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)
-    return experiments.partition_variants(train_rows, test_rows, [8, 32], "LogisticRegression")
+    return experiments.partition_variants(train_rows, test_rows, [8, 32], "DecisionTree", [1, 3],
+                                          grid={"maxDepth": [5]})
 
 
 @query("cache_variants")
