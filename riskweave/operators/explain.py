@@ -95,6 +95,10 @@ def perturb(instances: DataFrame, summary: list, numeric: list[str], categorical
         upto, bins = _bins(found[c], c in numeric)
         below = F.size(F.filter(upto, _reached(f"_u{i}")))
         picks[f"_b{i}"] = F.element_at(bins, below + 1)
+        if c in numeric:
+            # here, not in the final select: there the name would mean the drawn value
+            picks[f"_o{i}"] = F.size(F.filter(
+                F.array(*[F.lit(float(q)) for q in found[c][0]["cuts"]]), _below(c)))
     rows = rows.withColumns(picks)
     same, drawn, original = [], {}, F.col("_k") == 0
     for i, c in enumerate(variables):
@@ -103,9 +107,7 @@ def perturb(instances: DataFrame, summary: list, numeric: list[str], categorical
             normal = F.sqrt(-2 * F.log(F.greatest(u(i, 1), F.lit(1e-300)))) * F.cos(
                 2 * F.pi() * u(i, 2))
             value = F.least(pick["hi"], F.greatest(pick["lo"], pick["mean"] + normal * pick["sd"]))
-            own = F.size(F.filter(F.array(*[F.lit(float(q)) for q in found[c][0]["cuts"]]),
-                                  _below(c)))
-            match = pick["bin"] == own
+            match = pick["bin"] == F.col(f"_o{i}")
         else:
             value = pick["level"].cast(instances.schema[c].dataType)
             match = pick["level"] == F.col(c).cast("string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,18 @@ def normality_screen(df: DataFrame, columns: list[str], money: list[str] = ()) -
                         .otherwise("scale")))
 
 
+def ks_normality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Kolmogorov-Smirnov distance of every column to the normal with its own mean and spread."""
+    rows = _per_column(df, columns, mean=F.avg, sd=F.stddev_samp).collect()  # one row per column
+    results = [
+        KolmogorovSmirnovTest.test(
+            df.select(F.col(r["variable"]).cast("double").alias("value")).dropna(), "value", "norm",
+            r["mean"], r["sd"]).select(F.lit(r["variable"]).alias("variable"),
+                                       F.col("statistic"), F.col("pValue").alias("p"))
+        for r in rows if r["sd"]]
+    return reduce(DataFrame.unionByName, results)
+
+
 def frequency_table(df: DataFrame, columns: list[str], rare_pct: float = 1.0) -> DataFrame:
     """Count and share of every value (missing included) with a rare flag, for several columns."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(

@@ -34,6 +34,8 @@ def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) ->
     """
     buckets = buckets or default_buckets(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
+    if not probs:
+        return []
     found = df.approxQuantile(columns, probs, 1 / (4 * buckets))
     return sorted({value for values in found for value in values})
 
@@ -185,7 +187,7 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, out: str
 
 def head_and_tail(df: DataFrame, group: list[str], order: list[Column], reverse: list[Column],
                   k: int) -> DataFrame:
-    """First k and last k rows per group of a sorted table."""
+    """First k and last k rows per group of a sorted table; short groups list a row on both sides."""
     head = top_k(df, group, order, k, "rank").withColumn("side", F.lit("head"))
     tail = top_k(df, group, reverse, k, "rank").withColumn("side", F.lit("tail"))
     return head.unionByName(tail)

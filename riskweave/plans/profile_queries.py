@@ -204,6 +204,11 @@ def normality_screen(spark, sf):
     return tidy(rows.withColumn("jarque_bera", F.round("jarque_bera", 3)))
 
 
+@query("ks_normality")
+def ks_normality(spark, sf):
+    return profile.ks_normality(prepared(spark, sf), ["quantity", "acct_bal"])
+
+
 @query("missing_by_column", BASE_SQL + ", m AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count(*) - count({c}) AS n_missing, count(*) AS n FROM base"
     for c in _ALL) + f""") SELECT variable, n_missing, {rounded('100e0 * n_missing / n AS pct')},
