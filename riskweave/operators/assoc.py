@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.tails import chi2_sf, normal_two_sided, t_two_sided
-from riskweave.operators.profile import _per_column
+from riskweave.operators.profile import counts_per_column, per_column
 from riskweave.operators.ranks import cut_points, exact_quantiles, prefix_sums, unpivot
 
 
@@ -26,7 +28,7 @@ def welch_t(df: DataFrame, columns: list[str], target: str, medians: bool = True
     def of_class(f, c: str, k: int) -> Column:
         return f(F.when(F.col(target) == k, F.col(c)))
 
-    rows = _per_column(df, columns, **{
+    rows = per_column(df, columns, [target], **{
         f"{name}{k}": (lambda c, f=f, k=k: of_class(f, c, k))
         for k in (0, 1)
         for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))})
@@ -77,7 +79,7 @@ def mann_whitney(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def point_biserial(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Correlation with the 0/1 target, its t statistic and p, skipping missing values."""
-    rows = _per_column(df, columns, n=F.count, r=lambda c: correlation(
+    rows = per_column(df, columns, [target], n=F.count, r=lambda c: correlation(
         F.col(c), F.col(target).cast("double")))
     dof = F.col("n") - 2
     return (rows.withColumn("t", F.col("r") * F.sqrt(F.try_divide(dof, 1 - F.col("r") ** 2)))
@@ -137,7 +139,7 @@ def cramers_v_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def missing_vs_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Target rate with and without a value, and the 2 x 2 chi-squared with Yates' correction."""
     y = F.col(target)
-    rows = _per_column(
+    rows = counts_per_column(
         df, columns,
         n_rows=lambda c: F.count(F.lit(1)),
         n_missing=lambda c: F.count_if(F.col(c).isNull()),
@@ -160,13 +162,49 @@ def missing_vs_target(df: DataFrame, columns: list[str], target: str) -> DataFra
         .withColumn("p", chi2_sf("chi2", F.lit(1.0))))
 
 
+def _pair_sums(batches, columns: list[str]):
+    """Sums over the rows of a partition where both columns of a pair are present."""
+    k = len(columns)
+    sums = np.zeros((4, k, k))
+    for pdf in batches:
+        x = pdf.to_numpy(dtype=float)
+        seen = (~np.isnan(x)).astype(float)
+        x = np.nan_to_num(x)
+        # [0][i, j]: rows with both; [1], [2]: sum and square sum of i; [3]: sum of i times j
+        sums += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+    n, s, q, xy = sums
+    i, j = np.triu_indices(k, 1)
+    yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": s[i, j], "sy": s[j, i],
+                        "sxx": q[i, j], "syy": q[j, i], "sxy": xy[i, j]})
+
+
 def pearson_pairs(df: DataFrame, columns: list[str], above: float | None = None) -> DataFrame:
-    """Pairwise-complete correlation of every pair of columns, all from one aggregate."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)])))
+    """Pairwise-complete correlation of every pair of columns; NULL when a side is constant.
+
+    Every task reduces its rows to one small matrix of sums (one row per pair), which are then
+    added up. Columns are centred at their global means first, so the sums do not cancel.
+    """
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    centre = typed.agg(*[F.avg(c).alias(c) for c in columns]).select(
+        F.struct(*columns).alias("m")).scalar()
+    centred = typed.select(*[(F.col(c) - centre[c]).alias(c) for c in columns])
+    sums = centred.mapInPandas(
+        lambda batches: _pair_sums(batches, columns),
+        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = sums.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+
+    def spread(square: str, plain: str) -> Column:
+        raw = F.col(square) - F.try_divide(F.col(plain) * F.col(plain), n)
+        # what is left of a constant column after subtraction is rounding error
+        return F.when(raw > 1e-12 * F.col(square), raw)
+
+    shared = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    names = F.array(*[F.lit(c) for c in columns])
+    rows = total.select(
+        F.get(names, F.col("i")).alias("var_1"), F.get(names, F.col("j")).alias("var_2"),
+        F.try_divide(shared, F.sqrt(spread("sxx", "sx") * spread("syy", "sy"))).alias("r"))
     return rows if above is None else rows.filter(F.abs("r") > above)
 
 

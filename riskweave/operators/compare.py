@@ -12,7 +12,7 @@ from riskweave.functions.clean import effect_band
 from riskweave.functions.hashing import poisson_one, strong_uniform
 from riskweave.functions.tails import binomial_half_two_sided, chi2_sf, normal_two_sided
 from riskweave.operators.evaluate import (_rates, auc_of_steps, average_precision_of_steps)
-from riskweave.operators.ranks import cut_points, prefix_sums
+from riskweave.operators.ranks import cut_points, default_buckets, prefix_sums, stacked
 
 Z975 = 1.959963984540054  # fixed value: 97.5 % point of the standard normal
 MARGIN = 0.005            # fixed value: smallest AUC difference called relevant
@@ -41,29 +41,25 @@ def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> Da
 
     For a positive the component of a score set is the share of negatives it outranks, for a
     negative the share of positives that outrank it, ties half. Rows are first reduced to distinct
-    (label, scores) combinations. A histogram per (set, distinct score) with running sums gives the
-    component of a score, and one lookup per set (unique on the histogram side) brings it back.
+    (label, scores) combinations, one shuffle that every later step shares. A histogram per
+    distinct score with running sums gives the component of a score, and one lookup per set (unique
+    on the histogram side) brings it back.
     """
-    combos = wide.groupBy(label, *sets).agg(F.count(F.lit(1)).alias("w"))
-    long = combos.unpivot([label, "w"], sets, "set", "score")
-    hist = long.groupBy("set", "score").agg(
-        F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("neg"))
-    steps = prefix_sums(hist, ["set"], "score", ["pos", "neg"], cut_points(wide, sets))
-    parts = steps.select(
-        "set", "score",
-        F.try_divide(F.col("neg_before") + F.col("neg") / 2, F.col("neg_total")).alias("of_pos"),
-        (1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2, F.col("pos_total")))
-        .alias("of_neg"))
+    cuts = cut_points(wide, sets)
+    combos = wide.dropna(subset=[label, *sets]).groupBy(label, *sets).agg(
+        F.count(F.lit(1)).alias("w"))
     rows = combos
     for s in sets:
-        lookup = parts.filter(F.col("set") == s).select(
-            F.col("score").alias(s), F.col("of_pos").alias(f"_p_{s}"),
-            F.col("of_neg").alias(f"_n_{s}"))
+        hist = combos.groupBy(s).agg(
+            F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("neg"))
+        steps = prefix_sums(hist, [], s, ["pos", "neg"], cuts)
+        of_pos = F.try_divide(F.col("neg_before") + F.col("neg") / 2, F.col("neg_total"))
+        of_neg = 1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2, F.col("pos_total"))
         # centred at one half, so that the products below stay small
-        rows = rows.join(lookup, s).withColumn(
-            f"_v_{s}", F.when(F.col(label) == 1, F.col(f"_p_{s}")).otherwise(
-                F.col(f"_n_{s}")) - 0.5).drop(f"_p_{s}", f"_n_{s}")
+        rows = rows.join(steps.select(s, of_pos.alias("_p"), of_neg.alias("_n")), s).withColumn(
+            f"_v_{s}", F.when(F.col(label) == 1, F.col("_p")).otherwise(F.col("_n")) - 0.5).drop(
+            "_p", "_n")
     pairs = [(a, b) for i, a in enumerate(sets) for b in sets[i:]]
     w = F.col("w")
     sums = rows.groupBy(label).agg(
@@ -174,6 +170,7 @@ def weighted_metrics(weighted: DataFrame, keys: list[str], cuts: list[float],
     hist = weighted.groupBy(*keys, "score").agg(
         F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("label") == 0, F.col("weight")).otherwise(0)).alias("neg"))
+    hist = hist.filter(F.col("pos") + F.col("neg") > 0)
     steps = _rates(prefix_sums(hist, keys, "score", ["pos", "neg"], cuts))
     above = F.col("score") >= threshold
     tp = F.sum(F.when(above, F.col("pos")).otherwise(0))
@@ -198,13 +195,16 @@ def bootstrap_paired(wide: DataFrame, pairs: list[tuple[str, str]], thresholds:
     """
     uniform = uniform or (lambda i, b: strong_uniform(i, b, seed=seed))
     sets = list(dict.fromkeys(s for pair in pairs for s in pair))
-    drawn = (wide.select(id_col, label, *sets)
-             .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # every row becomes `replicates` rows, so the rows are spread over all tasks first
+    rows = wide.select(id_col, label, *sets).dropna().repartition(
+        default_buckets(wide.sparkSession))
+    drawn = (rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+             # a column of its own, because the count compares it many times
+             .withColumn("_u", uniform(F.col(id_col), F.col("replicate")))
              .withColumn("weight", F.when(F.col("replicate") == 0, F.lit(1)).otherwise(
-                 poisson_one(uniform(F.col(id_col), F.col("replicate")))))
-             .filter(F.col("weight") > 0))
-    long = drawn.select(F.col(label).alias("label"), "replicate", "weight", *sets).unpivot(
-        ["label", "replicate", "weight"], sets, "set", "score")
+                 poisson_one(F.col("_u")))))
+    long = stacked(drawn.withColumn("label", F.col(label)), sets, ["label", "replicate", "weight"],
+                   "set", "score")
     per = weighted_metrics(long, ["replicate", "set"], cut_points(wide, sets),
                            thresholds[F.col("set")])
     values = per.unpivot(["replicate", "set"], ["auc", "ap", "f1"], "metric", "value")

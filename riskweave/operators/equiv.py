@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.profile import _per_column
+from riskweave.operators.profile import per_column
 
 
 def table_equivalence(left: DataFrame, right: DataFrame, columns: list[str],
                       tolerance: float = 1e-9) -> DataFrame:
     """Non-missing counts and sums per numeric column on both sides and their difference."""
     def side(df: DataFrame, tag: str) -> DataFrame:
-        rows = _per_column(df, columns, n=F.count, total=F.sum)
+        rows = per_column(df, columns, n=F.count, total=F.sum)
         return rows.select("variable", F.col("n").alias(f"n_{tag}"),
                            F.col("total").alias(f"sum_{tag}"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.hashing import strong_uniform
-from riskweave.operators.ranks import exact_quantiles, rank_table, unpivot
+from riskweave.operators.ranks import default_buckets, exact_quantiles, rank_table, unpivot
 from riskweave.operators.train import score_column
 
 
@@ -181,6 +181,8 @@ def lime_batch(instances: DataFrame, fitted, train: DataFrame, numeric: list[str
     filled = _fill(instances, train, numeric)
     per_seed = filled.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds])))
     near = perturb(per_seed, summary, numeric, categorical, samples, F.col("_s"))
+    # a few instances become many rows to score: spread them over all tasks
+    near = near.repartition(default_buckets(near.sparkSession))
     scored = fitted.transform(near).select("id", "_seed", "_k", "_z",
                                            score_column(column).alias("_p"))
     fits = scored.groupBy("id", "_seed").applyInPandas(

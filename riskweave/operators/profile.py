@@ -9,16 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.clean import band, percent
-from riskweave.operators.ranks import exact_quantiles, top_k, unpivot
+from riskweave.operators.ranks import exact_quantiles, stacked, top_k, unpivot
 
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def _per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
-    """One wide aggregate, turned into one row per column.
+def per_column(df: DataFrame, columns: list[str], keep: list[str] = (), **measures) -> DataFrame:
+    """One row per numeric column with the given aggregates, all from one scan.
 
-    Each measure maps a column name to an aggregate; all of them run in the same scan.
+    Each measure maps the name of the value column to an aggregate; ``keep`` columns (a target)
+    stay available to it. The columns are unpivoted, so the aggregation buffer has the size of one
+    column's measures whatever the width of the table, and stays in generated code.
     """
+    long = stacked(df, columns, keep)
+    return long.groupBy("variable").agg(*[f("value").alias(m) for m, f in measures.items()])
+
+
+def counts_per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
+    """One row per column of any type with a few counting aggregates, from one wide aggregate."""
     aggs = [f(c).alias(f"{m}__{c}") for c in columns for m, f in measures.items()]
     entries = [F.struct(F.lit(c).alias("variable"),
                         *[F.col(f"{m}__{c}").alias(m) for m in measures]) for c in columns]
@@ -28,16 +36,15 @@ def _per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
 def table_info(df: DataFrame) -> DataFrame:
     """Type and non-missing count of every column."""
     types = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
-    info = _per_column(df, df.columns, non_null=F.count)
+    info = counts_per_column(df, df.columns, non_null=F.count)
     return info.withColumn("dtype", types[F.col("variable")])
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std (n - 1), min, quartiles and max per numeric column."""
-    moments = _per_column(
+    moments = per_column(
         df, columns, n=F.count, mean=F.avg, std=F.stddev_samp,
-        minimum=lambda c: F.min(F.col(c).cast("double")),
-        maximum=lambda c: F.max(F.col(c).cast("double")))
+        minimum=F.min, maximum=F.max)
     q = exact_quantiles(df, columns, QUARTILES)
     return (moments.join(q, "variable", "left")
             .withColumns({"p25": F.col("q")[0], "p50": F.col("q")[1], "p75": F.col("q")[2]})
@@ -56,7 +63,7 @@ def describe_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def univariate_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Moments, quartiles, 1.5 IQR fences, outliers, skewness, excess kurtosis and missing share."""
-    moments = _per_column(
+    moments = per_column(
         df, columns, n=F.count, mean=F.avg, std=F.stddev_samp, minimum=F.min, maximum=F.max,
         skew=F.skewness, kurt=F.kurtosis, n_rows=lambda c: F.count(F.lit(1)))
     fences = _fences(exact_quantiles(df, columns, QUARTILES))
@@ -82,7 +89,7 @@ def _fences(quartiles: DataFrame) -> DataFrame:
 
 def log1p_skew(df: DataFrame, columns: list[str]) -> DataFrame:
     """Skewness before and after log1p; the second is NULL for columns with negative values."""
-    rows = _per_column(df, columns, skew=F.skewness, minimum=F.min,
+    rows = per_column(df, columns, skew=F.skewness, minimum=F.min,
                        skew_log=lambda c: F.skewness(F.log1p(F.when(F.col(c) >= 0, F.col(c)))))
     return rows.select("variable", "skew",
                        F.when(F.col("minimum") >= 0, F.col("skew_log")).alias("skew_log1p"))
@@ -90,7 +97,7 @@ def log1p_skew(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def normality_screen(df: DataFrame, columns: list[str], money: list[str] = ()) -> DataFrame:
     """Jarque-Bera statistic and p per column from one aggregate, with a scaling recommendation."""
-    rows = _per_column(df, columns, n=F.count, skew=F.skewness, kurt=F.kurtosis)
+    rows = per_column(df, columns, n=F.count, skew=F.skewness, kurt=F.kurtosis)
     jb = F.col("n") / 6 * (F.col("skew") ** 2 + F.col("kurt") ** 2 / 4)
     return (rows.withColumn("jarque_bera", jb)
             # the chi-squared tail with two degrees of freedom has a closed form
@@ -102,7 +109,7 @@ def normality_screen(df: DataFrame, columns: list[str], money: list[str] = ()) -
 
 def ks_normality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Kolmogorov-Smirnov distance of every column to the normal with its own mean and spread."""
-    rows = _per_column(df, columns, mean=F.avg, sd=F.stddev_samp).collect()  # one row per column
+    rows = per_column(df, columns, mean=F.avg, sd=F.stddev_samp).collect()  # one row per column
     results = [
         KolmogorovSmirnovTest.test(
             df.select(F.col(r["variable"]).cast("double").alias("value")).dropna(), "value", "norm",
@@ -147,9 +154,9 @@ def split_audit(df: DataFrame, split: str, target: str) -> DataFrame:
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Missing count, share and band for every column."""
-    rows = _per_column(df, df.columns,
-                       n_missing=lambda c: F.count_if(F.col(c).isNull()),
-                       n_rows=lambda c: F.count(F.lit(1)))
+    rows = counts_per_column(df, df.columns,
+                             n_missing=lambda c: F.count_if(F.col(c).isNull()),
+                             n_rows=lambda c: F.count(F.lit(1)))
     pct = F.lit(100.0) * F.col("n_missing") / F.col("n_rows")
     # The bands of the missing-data report.
     labels = ["0 %", "(0, 5] %", "(5, 30] %", "(30, 70] %", "> 70 %"]
@@ -213,9 +220,9 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 50, upper: float |
         df = df.select(*by, *[F.log1p(c).alias(c) for c in columns])
     long = unpivot(df, columns, by)
     if upper is None:
-        edges = _per_column(df, columns, lo=F.min, hi=F.max)
+        edges = per_column(df, columns, lo=F.min, hi=F.max)
     else:
-        lows = _per_column(df, columns, lo=F.min)
+        lows = per_column(df, columns, lo=F.min)
         tops = exact_quantiles(df, columns, [upper]).select(
             "variable", F.col("q")[0].alias("cap"))
         capped = long.join(F.broadcast(tops), "variable").filter(F.col("value") <= F.col("cap"))
@@ -267,7 +274,7 @@ def density_curves(df: DataFrame, columns: list[str], by: str, bins: int = 200,
     long = unpivot(df, columns, [by])
     spread = long.groupBy(by, "variable").agg(
         F.count(F.lit(1)).alias("total"), F.stddev_samp("value").alias("sd"))
-    edges = _per_column(df, columns, lo=F.min, hi=F.max)
+    edges = per_column(df, columns, lo=F.min, hi=F.max)
     width = (F.col("hi") - F.col("lo")) / bins
     cells = (counts.join(spread, [by, "variable"]).join(edges, "variable")
              .withColumn("mid", F.col("left_edge") + width / 2)

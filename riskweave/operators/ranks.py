@@ -26,17 +26,21 @@ def default_buckets(spark: SparkSession) -> int:
     return min(MAX_BUCKETS, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) -> list[float]:
+def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None,
+               share: float = 0.01) -> list[float]:
     """Distinct approximate quantiles of the columns, pooled: at most columns x buckets numbers.
 
-    Pooling keeps one set of cuts for several columns or keys; each column is cut at least as
-    finely as by its own quantiles.
+    Cuts only balance the ordered step, so a share of the rows is enough to place them: a small
+    table then gets few cuts or none and stays in few tasks, a large one gets all of them. Every
+    row is still counted and ranked. Pooling keeps one set of cuts for several columns or keys;
+    each column is cut at least as finely as by its own quantiles.
     """
     buckets = buckets or default_buckets(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
     if not probs:
         return []
-    found = df.approxQuantile(columns, probs, 1 / (4 * buckets))
+    seen = df.select(*columns).sample(fraction=share, seed=7) if share < 1 else df
+    found = seen.approxQuantile(columns, probs, 1 / (4 * buckets))
     return sorted({value for values in found for value in values})
 
 
@@ -47,14 +51,26 @@ def with_bucket(df: DataFrame, value: str, cuts: list[float], out: str = "_bucke
     splits = [-float("inf"), *cuts, float("inf")]
     placed = Bucketizer(splits=splits, inputCol=value, outputCol=out,
                         handleInvalid="keep").transform(df)
-    return placed.withColumn(out, F.col(out).cast("int"))
+    # never NULL, so that joins on it add no filter and both users of a histogram share one scan
+    return placed.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
+
+
+def stacked(df: DataFrame, columns: list[str], keep: list[str] = (), name: str = "variable",
+            value: str = "value", cast: str = "double") -> DataFrame:
+    """Long form of columns, missing values included.
+
+    Written with ``inline``: unlike the plan of ``DataFrame.unpivot``, two uses of it compare as
+    equal, so a shuffle above it is computed once.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast(cast).alias(value))
+                        for c in columns])
+    return df.select(*keep, F.inline(entries))
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = (), name: str = "variable",
             value: str = "value") -> DataFrame:
     """Long form of numeric columns, without the missing values."""
-    typed = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
-    return typed.unpivot(list(keep), columns, name, value).filter(F.col(value).isNotNull())
+    return stacked(df, columns, keep, name, value).filter(F.col(value).isNotNull())
 
 
 def value_histogram(df: DataFrame, keys: list[str], value: str,
@@ -66,22 +82,30 @@ def value_histogram(df: DataFrame, keys: list[str], value: str,
 
 def prefix_sums(hist: DataFrame, keys: list[str], value: str, measures: list[str],
                 cuts: list[float]) -> DataFrame:
-    """Add ``<m>_before`` (sum over smaller values) and ``<m>_total`` per key to a histogram."""
-    h = with_bucket(hist, value, cuts)
+    """Add ``<m>_before`` (sum over smaller values) and ``<m>_total`` per key to a histogram.
+
+    Rows without a value or with a missing key are left out. The histogram is used twice, for the
+    offsets and for the ordered step; the engine computes its shuffle once.
+    """
+    h = with_bucket(hist.dropna(subset=[*keys, value]), value, cuts)
     sums = h.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     earlier = (Window.partitionBy(*keys).orderBy("_bucket")
                .rowsBetween(Window.unboundedPreceding, -1))
     whole = Window.partitionBy(*keys)
+    # renamed keys keep both sides of the join on the very same histogram, so its shuffle is reused
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_bucket"])}
     offsets = sums.select(
-        *keys, "_bucket",
+        *[F.col(k).alias(n) for k, n in names.items()],
         *[F.coalesce(F.sum(f"_s_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_s_{m}").over(whole).alias(f"{m}_total") for m in measures])
     inside = (Window.partitionBy(*keys, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
     h = h.withColumns({f"_i_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    return (h.join(offsets, [*keys, "_bucket"])
+    same = [F.col(k) == F.col(n) for k, n in names.items()]
+    return (h.join(offsets, same)
             .withColumns({f"{m}_before": F.col(f"_i_{m}") + F.col(f"_o_{m}") for m in measures})
-            .drop("_bucket", *[f"_i_{m}" for m in measures], *[f"_o_{m}" for m in measures]))
+            .drop("_bucket", *names.values(), *[f"_i_{m}" for m in measures],
+                  *[f"_o_{m}" for m in measures]))
 
 
 def rank_table(df: DataFrame, value: str, keys: list[str] = (), out: str = "avg_rank",

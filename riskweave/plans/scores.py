@@ -43,10 +43,10 @@ def wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pipeline, model, id, label, score)."""
-    long = wide_scores(spark, sf_dir).unpivot(["id", "label"], SETS, "_set", "score")
-    return long.select(F.split_part("_set", F.lit("_"), F.lit(1)).alias("pipeline"),
-                       F.split_part("_set", F.lit("_"), F.lit(2)).alias("model"),
-                       "id", "label", "score")
+    entries = F.array(*[F.struct(F.lit(s[0]).alias("pipeline"), F.lit(s[2:]).alias("model"),
+                                 F.col(s).alias("score")) for s in SETS])
+    return wide_scores(spark, sf_dir).select("id", "label", F.inline(entries)).select(
+        "pipeline", "model", "id", "label", "score")
 
 
 def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
