@@ -71,7 +71,8 @@ def main(argv: list[str]) -> int:
     from riskweave.session import get_session
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    wanted = argv[1:]
+    only_sql = "--sql" in argv
+    wanted = [a for a in argv[1:] if a != "--sql"]
     spark = get_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
@@ -80,6 +81,8 @@ def main(argv: list[str]) -> int:
     sql = oracle_sql()
     failed = 0
     for name, fn in queries().items():
+        if only_sql and name not in sql:
+            continue
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1]))
                               for w in wanted):
             continue
