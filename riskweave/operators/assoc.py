@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.tails import chi2_sf, normal_two_sided, t_two_sided
@@ -110,9 +110,10 @@ def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     pair = ["var_1", "var_2"]
     cells = _cells(df, pairs)
-    with_margins = cells.withColumns({
-        "row_n": F.sum("observed").over(Window.partitionBy(*pair, "a")),
-        "col_n": F.sum("observed").over(Window.partitionBy(*pair, "b"))})
+    with_margins = cells
+    for side, name in (("a", "row_n"), ("b", "col_n")):
+        margin = cells.groupBy(*pair, side).agg(F.sum("observed").alias(name))
+        with_margins = with_margins.join(margin, [*pair, side])
     totals = cells.groupBy(*pair).agg(
         F.sum("observed").alias("n"), F.count_distinct("a").alias("rows"),
         F.count_distinct("b").alias("cols"))

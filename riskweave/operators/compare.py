@@ -12,7 +12,8 @@ from riskweave.functions.clean import effect_band
 from riskweave.functions.hashing import poisson_one, strong_uniform
 from riskweave.functions.tails import binomial_half_two_sided, chi2_sf, normal_two_sided
 from riskweave.operators.evaluate import (_rates, auc_of_steps, average_precision_of_steps)
-from riskweave.operators.ranks import cut_points, default_buckets, prefix_sums, stacked
+from riskweave.operators.ranks import (complete, cut_points, default_buckets, prefix_sums,
+                                       stacked)
 
 Z975 = 1.959963984540054  # fixed value: 97.5 % point of the standard normal
 MARGIN = 0.005            # fixed value: smallest AUC difference called relevant
@@ -46,8 +47,7 @@ def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> Da
     on the histogram side) brings it back.
     """
     cuts = cut_points(wide, sets)
-    combos = wide.dropna(subset=[label, *sets]).groupBy(label, *sets).agg(
-        F.count(F.lit(1)).alias("w"))
+    combos = complete(wide, [label, *sets]).groupBy(label, *sets).agg(F.count(F.lit(1)).alias("w"))
     rows = combos
     for s in sets:
         hist = combos.groupBy(s).agg(

@@ -73,6 +73,17 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] = (), name: str =
     return stacked(df, columns, keep, name, value).filter(F.col(value).isNotNull())
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows where all the columns are present.
+
+    Plain null tests, not ``dropna``: the optimizer then knows that later joins on the columns need
+    no filter of their own, and two uses of the table keep the same plan.
+    """
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def value_histogram(df: DataFrame, keys: list[str], value: str,
                     measures: dict[str, Column] | None = None) -> DataFrame:
     """One row per (keys, distinct value) with the summed measures (default: the row count)."""
@@ -87,7 +98,7 @@ def prefix_sums(hist: DataFrame, keys: list[str], value: str, measures: list[str
     Rows without a value or with a missing key are left out. The histogram is used twice, for the
     offsets and for the ordered step; the engine computes its shuffle once.
     """
-    h = with_bucket(hist.dropna(subset=[*keys, value]), value, cuts)
+    h = with_bucket(complete(hist, [*keys, value]), value, cuts)
     sums = h.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     earlier = (Window.partitionBy(*keys).orderBy("_bucket")
                .rowsBetween(Window.unboundedPreceding, -1))

@@ -453,7 +453,7 @@ def fit_time_ratios(spark, sf):
     wins = experiments.first_win(wide.withColumn("all", F.lit("lr against dt")), "all", "n_train",
                                  "lr", "dt")
     ratios = experiments.timing_ratios(curve, "n_train", "model", "lr", "dt", "fit_seconds")
-    return ratios.join(wins)
+    return ratios.withColumn("wins_from", wins.select("wins_from").scalar())
 
 
 @query("partition_variants")

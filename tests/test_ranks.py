@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import ranks
+from riskweave.session import materialise
 
 
 def hot_values(seed=0, n=3000):
@@ -74,6 +75,15 @@ def test_plan_has_no_global_window(table):
     assert "SinglePartition" not in plan
 
 
+def test_histogram_is_shuffled_once(table):
+    long = ranks.unpivot(materialise(table, "hot"), ["x"], ["label"])
+    hist = ranks.value_histogram(long, ["label"], "value")
+    df = ranks.prefix_sums(hist, ["label"], "value", ["n"], [0.0, 2.0])
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
 def test_head_and_tail(spark):
     df = spark.createDataFrame([("g", i) for i in range(20)], "g string, v int")
     rows = ranks.head_and_tail(df, ["g"], [F.asc("v")], [F.desc("v")], 3).collect()
