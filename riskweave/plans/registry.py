@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def shipped(fn: Query) -> Query:
+    """The query, preceded by sending the package to the executors."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a callable (spark, sf_dir) -> DataFrame under a name."""
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             SQL[name] = sql
         return fn
