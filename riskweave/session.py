@@ -27,15 +27,20 @@ def get_session(app: str = "riskweave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_ARROW_DEFAULT = "67108864b"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application.
+    """Send this package to the executors, once per application, and bound its Arrow batches.
 
     Functions that run in Python workers are pickled by reference, so the workers must be able to
-    import the package also when the driver runs outside its folder.
+    import the package also when the driver runs outside its folder. Batches are cut at 8 MB, unless
+    the session asks for another size, so that long texts do not fill a worker's memory.
     """
+    if spark.conf.get(_ARROW_BYTES) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_BYTES, "8m")
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
