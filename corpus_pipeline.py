@@ -1,25 +1,54 @@
 """Cleaning pipeline over documents: each stage works on all rows that the one before it kept.
 
 Every stage is (spark, docs, sf_dir) -> DataFrame and is written as Parquet and read again before the
-next one. All but the last return the columns of documents.
+next one. All but the last return the columns of documents; the last returns piece ids.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import near_dup
+from riskweave.llm import line_dedup, near_dup, pieces, rules, tiling
 from riskweave.session import materialise, ship
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    ship(spark)
+    return rules.accepted(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of fuzzily equal lines one stays; documents that lose every line with a word go."""
+    ship(spark)
+    return line_dedup.without_repeated_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near duplicates stays."""
     ship(spark)
     return near_dup.keep_first(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    ship(spark)
+    return tiling.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every remaining document."""
+    ship(spark)
+    return pieces.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
     ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece", encode),
 ]
 
 #: No SQL: line signatures, tiling and sampled segmentations are iterative or random.

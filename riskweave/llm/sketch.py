@@ -18,7 +18,7 @@ ROUNDS = 4
 _MANTISSA = 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray, buckets: int) -> np.ndarray:

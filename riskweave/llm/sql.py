@@ -27,3 +27,34 @@ SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles,
        len(sets.s) = 0 OR sets.doc_id = comp.component AS kept
 FROM sets LEFT JOIN one ON one.s = list_sort(sets.s) LEFT JOIN comp ON comp.x = one.id
 """
+
+RULES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda l : regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
+keyed AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM win),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM keyed)
+          WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n
+            FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+top AS (SELECT r, max(n) AS n FROM (
+          SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r, x)
+        GROUP BY r),
+s AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         length(text) - length(replace(text, '!', '')) AS n_bangs, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(top.n, 0) AS top_word
+  FROM d LEFT JOIN covered USING (r) LEFT JOIN top USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_bangs > 3 * n_words
+            OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words
+            OR 2 * n_dup_lines > n_lines OR 2 * top_word > n_words) AS kept
+FROM b
+"""

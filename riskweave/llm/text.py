@@ -20,9 +20,9 @@ LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -158,9 +158,9 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5
             np.concatenate([[0], np.cumsum(counts)]))
 
 
-def char_shingles(data: np.ndarray, offsets: np.ndarray, size: int
+def char_shingles(data: np.ndarray, offsets: np.ndarray, size: int, distinct: bool = True
                   ) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of `size` bytes of every text; a shorter text is its own shingle."""
+    """Shingles of `size` bytes of every text; a shorter text is its own shingle."""
     length = np.diff(offsets)
     row = owners(offsets)
     at = np.flatnonzero(np.arange(len(data)) + size <= offsets[1:][row]) if len(data) else row
@@ -171,6 +171,8 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray, size: int
     starts, ends = starts[order], ends[order]
     hashed = span_hashes(data, starts, ends)
     begin = np.searchsorted(starts, offsets)
+    if not distinct:
+        return hashed, begin
     out = [np.unique(hashed[a:b]) for a, b in zip(begin[:-1], begin[1:])]
     counts = np.array([len(x) for x in out], dtype=np.int64)
     return (np.concatenate(out) if out else hashed), np.concatenate([[0], np.cumsum(counts)])
