@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from riskweave.session import get_session  # noqa: E402
+from riskweave.session import get_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,5 +14,6 @@ def spark():
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
