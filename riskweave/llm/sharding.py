@@ -4,8 +4,9 @@ Law `bytes`: the size of a row is the UTF-8 length of its text plus 1. Rows of e
 group, and groups fall by a hash of the text into a fixed number of atomic buckets, so that copies
 are never separated and the sizes to be partitioned have a bound that does not grow with the data.
 The ordered bucket sizes are cut into contiguous runs: a binary search over whole numbers finds the
-smallest capacity for which a greedy walk needs no more than the wanted number of shards. Buckets far
-above the mean (hot groups) are spread over the order first, largest to the emptiest run.
+smallest capacity for which a greedy walk needs no more than the wanted number of shards. A bucket
+that is more than an equal share is a shard by itself and the rest is shared by the others; smaller
+ones far above the mean (hot groups) are spread over the order first, largest to the emptiest run.
 
 Slots number the rows of a shard without gaps: each bucket, split further by a hash of doc_id if it
 holds many rows, numbers its own rows, and offsets are running sums of the counts of these cells.
@@ -84,15 +85,22 @@ def spread_order(sizes: dict[int, int], shards: int) -> list[int]:
 
 
 def plan(sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """Shard of every bucket."""
-    order = spread_order(sizes, shards)
-    ordered = [sizes[b] for b in order]
-    ends = list(accumulate(cut(ordered, smallest_capacity(ordered, shards))))
-    out, shard = {}, 0
-    for i, b in enumerate(order):
-        while i >= ends[shard]:
-            shard += 1
+    """Shard of every bucket; a bucket above the mean of what is left is a shard by itself."""
+    left, total, out, shard = dict(sizes), sum(sizes.values()), {}, 0
+    for b in sorted(sizes, key=lambda b: (-sizes[b], b))[:shards - 1]:
+        if sizes[b] * (shards - shard) < total:
+            break
         out[b] = shard
+        total -= left.pop(b)
+        shard += 1
+    order = spread_order(left, shards - shard)
+    ordered = [left[b] for b in order]
+    ends = list(accumulate(cut(ordered, smallest_capacity(ordered, shards - shard))))
+    run = 0
+    for i, b in enumerate(order):
+        while i >= ends[run]:
+            run += 1
+        out[b] = shard + run
     return out
 
 
