@@ -4,10 +4,12 @@
    smallest id of that batch go to a bucket of their own, tied to that id, so a key that a third of
    all texts share arrives as one row per batch.
 2. In sorted order every bucket yields its members next to its smallest id: a star, not all pairs.
-3. Every member is verified with its best star partner; components follow.
+3. Every member is verified with the star partner it shares most bands with; components follow.
 4. Buckets that still hold several components are the rest: there, texts outside the largest component
-   are compared with the texts of other components in blocks, and what passes the estimate is
-   verified too. Then every pair that shares a band is verified or already connected.
+   are compared with the texts of other components in blocks. First they try only their most similar
+   partners among some of a block, which connects large groups without comparing all their pairs;
+   at last all that passes the estimate is verified. Then every pair that shares a band is verified
+   or already connected.
 """
 
 from __future__ import annotations
@@ -31,17 +33,24 @@ BROADCAST_IDS = 500_000
 HOT_ROWS = 64
 #: Texts of one side in a block of the rest.
 BLOCK = 512
+#: Rounds of the rest: (partners tried per outsider and block, members looked at); the last has all.
+ROUNDS = ((1, 64), (4, 256), (None, None))
+Facts = Callable[[DataFrame], DataFrame]
 BANDS_SCHEMA = "key long, sub long, id long"
 
 
 @dataclass(frozen=True)
 class Banding:
-    """Signature and threshold: P(miss) = (1 - J^rows)^bands for a pair of similarity J."""
+    """Signature and threshold: P(miss) = (1 - J^rows)^bands for a pair of similarity J.
+
+    Bands are cut from `buckets` registers, similarity is estimated from `fine` registers.
+    """
     buckets: int
     bands: int
     rows: int
     percent: int
     floor: float
+    fine: int
 
     def __post_init__(self):
         if self.bands * self.rows > self.buckets or self.rows > 4:
@@ -83,7 +92,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
         new[0] = (key[0], sub[0]) != open_key
         bucket = np.cumsum(new)  # 0 is the open one
-        heads = np.concatenate([[head], who[new]])
+        heads = np.concatenate([np.array([head], np.int64), who[new]])
         first = heads[bucket]
         other = who != first
         several = np.zeros(len(heads), dtype=bool)
@@ -91,7 +100,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = several[0] and not written  # the open bucket's first id was held back
         several[0] |= written
         wanted = other | (new & several[bucket])
-        out = [np.concatenate([[before] if late else [], x[wanted]]).astype(np.int64)
+        out = [np.concatenate([np.array([before] if late else [], np.int64), x[wanted]])
                for before, x in zip((*(open_key or (0, 0)), head, head), (key, sub, who, first))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out],
                                          names=["key", "sub", "id", "first"])
@@ -128,8 +137,8 @@ def _estimated(floor: float, buckets_n: int):
                                         x.column("b_size").to_numpy())
                 keep = est >= floor
                 yield pa.RecordBatch.from_arrays(
-                    [x.column("a").filter(pa.array(keep)), x.column("b").filter(pa.array(keep)),
-                     pa.array(est[keep])], names=["a", "b", "score"])
+                    [x.column("a").filter(pa.array(keep)), x.column("b").filter(pa.array(keep))],
+                    names=["a", "b"])
     return run
 
 
@@ -138,7 +147,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
-def _rest(banding: Banding):
+def _rest(banding: Banding, tries: int | None, looks: int | None):
     """Pairs of a block: outsiders with texts of other components that pass the estimate.
 
     The input is sorted by block; a block has some BLOCK outsiders and 4 x BLOCK members at most, up
@@ -152,6 +161,8 @@ def _rest(banding: Banding):
             differ = inside[rows["component"][inside] != rows["component"][i]]
             if not len(differ):
                 continue
+            if looks:
+                differ = differ[::-(-len(differ) // looks)]
             equal = (rows["sketch"][differ] == rows["sketch"][i]).mean(axis=1)
             differ = differ[equal >= banding.floor]  # the correction only lowers it
             if not len(differ):
@@ -159,7 +170,10 @@ def _rest(banding: Banding):
             est = sketch.similarity(
                 rows["sketch"][differ], np.repeat(rows["sketch"][i][None], len(differ), axis=0),
                 rows["size"][differ], np.repeat(rows["size"][i], len(differ)))
-            other = rows["id"][differ[est >= banding.floor]]
+            good = np.flatnonzero(est >= banding.floor)
+            if tries:
+                good = good[np.argsort(-est[good], kind="stable")[:tries]]
+            other = rows["id"][differ[good]]
             found_a.append(np.minimum(other, rows["id"][i]))
             found_b.append(np.maximum(other, rows["id"][i]))
         if not found_a:
@@ -192,7 +206,7 @@ def _rest(banding: Banding):
         for a, b in zip(edge[:-1], edge[1:]):
             part = {c: v[a:b] for c, v in columns.items()}
             part["sketch"] = _matrix(table.column("sketch").slice(a, b - a).combine_chunks(),
-                                     banding.buckets)
+                                     banding.fine)
             found = pairs(part)
             if found is not None:
                 yield found
@@ -209,16 +223,17 @@ def _verified(similar: Callable[[pa.Array, pa.Array], np.ndarray]):
     return run
 
 
-def link(bands: DataFrame, sketches: Callable[[DataFrame], DataFrame],
-         texts: Callable[[DataFrame], DataFrame],
+def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Facts, Facts]],
          similar: Callable[[pa.Array, pa.Array], np.ndarray], banding: Banding) -> DataFrame:
     """(id, component) of ids linked with another one; ids without a link are absent.
 
-    bands: rows of ``band_batch``; sketches(ids) gives (id, size, sketch) and texts(ids) gives
-    (id, text) for a table of ids; similar says for two text columns which rows are linked.
+    bands: rows of ``band_batch``. prepare(ids) gets all ids that share a band with another one and
+    returns two functions of a table of some of them: one gives (id, size, sketch), the other
+    (id, text). similar says for two text columns which rows are linked.
     """
     def ids_of(pairs: DataFrame) -> DataFrame:
-        return materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        return materialise(pairs.select(F.col("a").alias("id"))
+                           .unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = texts(ids_of(pairs))
@@ -226,51 +241,64 @@ def link(bands: DataFrame, sketches: Callable[[DataFrame], DataFrame],
                            .mapInArrow(_verified(similar), "a long, b long"), "links")
 
     members = materialise(buckets(bands), "buckets")
-    stars = materialise(members.where("id <> first").select(F.col("first").alias("a"),
-                                                            F.col("id").alias("b")).distinct(),
-                        "stars")
-    if stars.isEmpty():
-        return stars.select(F.col("a").alias("id"), F.col("a").alias("component"))
-    likely = materialise(
-        with_sides(stars, sketches(ids_of(stars))).mapInArrow(
-            _estimated(banding.floor, banding.buckets), "a long, b long, score double"), "likely")
-    best = materialise(likely.groupBy("b").agg(
-        F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("m"))
-        .select((-F.col("m.a")).alias("a"), "b"), "best")
-    links = verify(best)
+    # one star partner per member, the one with most bands in common
+    best = (members.where("id <> first").groupBy("id", "first").count()
+            .groupBy(F.col("id").alias("b"))
+            .agg((-F.max(F.struct("count", (-F.col("first")).alias("a")))["a"]).alias("a"))
+            .select("a", "b"))
+    best = materialise(best, "stars")
+    if best.isEmpty():
+        return best.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    # a member's keys, at most two per band, as one row
+    keys = materialise(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "keys")
+    sketches, texts = prepare(keys.select("id"))
+    likely = (with_sides(best, sketches(ids_of(best)))
+              .mapInArrow(_estimated(banding.floor, banding.fine), "a long, b long"))
+    links = verify(materialise(likely, "likely"))
     labels = materialise(components(links), "labels")
 
-    known = members.join(labels, "id", "left").withColumn(
-        "component", F.coalesce("component", "id")).drop("first")
-    sizes = known.groupBy("key", "component").count()
-    mixed = sizes.groupBy("key").agg(
+    tried = best
+    for tries, looks in ROUNDS:
+        blocks = _mixed(keys, labels)
+        if blocks.isEmpty():
+            break
+        facts = sketches(materialise(blocks.select("id").distinct(), "ids"))
+        more = (_dealt(blocks).join(facts, "id").repartition("block")
+                .sortWithinPartitions("block")
+                .mapInArrow(_rest(banding, tries, looks), "a long, b long").distinct())
+        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
+        found = verify(more)
+        if not found.isEmpty():
+            known = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
+            labels = materialise(components(known.unionAll(found)), "labels")
+        tried = tried.select("a", "b").unionAll(more.select("a", "b"))
+    return labels
+
+
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the blocks of each bucket."""
+    known = (keys.join(labels, "id", "left")
+             .select("id", F.coalesce("component", "id").alias("component"),
+                     F.explode("keys").alias("key")))
+    mixed = (known.groupBy("key", "component").count().groupBy("key").agg(
         F.max_by("component", "count").alias("main"), F.count(F.lit(1)).alias("parts"),
-        F.sum("count").alias("n"), F.max("count").alias("most")).where("parts > 1")
-    blocks = materialise(
-        known.join(mixed, "key").withColumn("outside", F.expr("component <> main"))
-        .withColumn("out_blocks", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"))
-        .withColumn("in_blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
-        .select("key", "id", "component", "outside", "out_blocks", "in_blocks").distinct(), "mixed")
-    if blocks.isEmpty():
-        return labels
-    spread = F.abs(F.xxhash64("id"))
+        F.sum("count").alias("n"), F.max("count").alias("most")).where("parts > 1"))
+    return materialise(
+        known.join(mixed, "key").select(
+            "key", "id", "component", F.expr("component <> main").alias("outside"),
+            F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("out_blocks"),
+            F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("in_blocks")), "mixed")
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """(block, id, component, outside): every outsider meets every member of its bucket in a block."""
     inside = blocks.select(
         "key", "id", "component", F.lit(False).alias("outside"),
-        (spread % F.col("in_blocks")).cast("int").alias("ib"),
+        F.pmod(F.xxhash64("id"), F.col("in_blocks")).cast("int").alias("ib"),
         F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("ob"))
     outside = blocks.where("outside").select(
         "key", "id", "component", "outside",
         F.explode(F.sequence(F.lit(0), F.col("in_blocks") - 1)).alias("ib"),
-        (F.abs(F.xxhash64("id", F.lit(1))) % F.col("out_blocks")).cast("int").alias("ob"))
-    facts = sketches(materialise(blocks.select("id").distinct(), "ids"))
-    tasks = inside.unionAll(outside).select(
-        F.xxhash64("key", "ib", "ob").alias("block"), "id", "component", "outside").join(facts, "id")
-    more = (tasks.repartition("block").sortWithinPartitions("block")
-            .mapInArrow(_rest(banding), "a long, b long").distinct())
-    more = materialise(more.join(best, ["a", "b"], "left_anti"), "more")
-    if more.isEmpty():
-        return labels
-    found = verify(more)
-    if found.isEmpty():
-        return labels
-    return components(links.unionAll(found))
+        F.pmod(F.xxhash64("id", F.lit(1)), F.col("out_blocks")).cast("int").alias("ob"))
+    return inside.unionAll(outside).select(
+        F.xxhash64("key", "ib", "ob").alias("block"), "id", "component", "outside")

@@ -14,7 +14,7 @@ import numpy as np
 
 from riskweave.llm.text import mix, owners, seeds
 
-ROUNDS = 4
+ROUNDS = 7
 _MANTISSA = 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -37,7 +37,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray, buckets: int) -> np.ndarra
             chosen, where = hashes, row
         if not len(chosen):
             break
-        x = mix(chosen ^ seed)
+        x = mix(chosen ^ seed) if r else chosen  # element hashes are mixed already
         slot = where * buckets + (((x >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(best, slot, (x & _LOW) | np.uint64(r << 32))
     empty = np.flatnonzero(best == _EMPTY)

@@ -8,6 +8,7 @@ a span, then a mixing step; equal spans have equal hashes on every machine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,37 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, salt: int = 7
     return mix(total[at]), at
 
 
+def line_forms(data: np.ndarray, offsets: np.ndarray):
+    """Lines with a word of folded texts: (row, number, id, tail, forms).
+
+    A line's form is its words joined by one blank; id and tail are the halves of its 128-bit digest.
+    Most texts have no other white space than single blanks and line feeds; only the others are
+    split into words.
+    """
+    rows, numbers, forms = [], [], []
+    if len(data):
+        blank, space = data == 32, SPACE[data]
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[offsets] = True
+        beside = edge[:-1] | edge[1:]
+        beside[1:] |= space[:-1]
+        beside[:-1] |= space[1:]
+        odd = np.concatenate([[0], np.cumsum((space & ~blank & (data != 10)) | (blank & beside))])
+        raw = data.tobytes()
+        bounds, odd = offsets.tolist(), (np.diff(odd[offsets]) > 0).tolist()
+        for i, messy in enumerate(odd):
+            for n, line in enumerate(raw[bounds[i]:bounds[i + 1]].split(b"\n")):
+                if messy:
+                    line = b" ".join(line.split())
+                if line:
+                    rows.append(i)
+                    numbers.append(n)
+                    forms.append(line)
+    digest = np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in forms]),
+                           dtype=np.int64).reshape(-1, 2)
+    return np.array(rows, np.int64), np.array(numbers, np.int64), digest[:, 0], digest[:, 1], forms
+
+
 def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5
                   ) -> tuple[np.ndarray, np.ndarray]:
     """Distinct folded word shingles of every text: (sorted hashes, n + 1 offsets of the texts).
@@ -162,22 +194,40 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray, size: int, distinct: bo
                   ) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of `size` bytes of every text; a shorter text is its own shingle."""
     length = np.diff(offsets)
-    row = owners(offsets)
-    at = np.flatnonzero(np.arange(len(data)) + size <= offsets[1:][row]) if len(data) else row
-    short = np.flatnonzero((length > 0) & (length < size))
-    starts = np.concatenate([at, offsets[short]])
-    ends = np.concatenate([at + size, offsets[short + 1]])
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], ends[order]
-    hashed = span_hashes(data, starts, ends)
-    begin = np.searchsorted(starts, offsets)
+    long = length >= size
+    counts = np.where(long, length - size + 1, (length > 0).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(counts)])
+    whole = np.ones(max(len(data) - size + 1, 0), dtype=bool)
+    for k in range(1, size):  # windows that would reach into the next text
+        ends = offsets[1:] - k
+        whole[ends[(ends >= 0) & (ends < len(whole))]] = False
+    hashed = np.empty(first[-1], dtype=np.uint64)
+    is_long = np.repeat(long, counts)
+    hashed[is_long] = _window_hashes(data, size)[whole] if len(whole) else 0
+    if not long.all():
+        short = np.flatnonzero((length > 0) & ~long)
+        hashed[~is_long] = span_hashes(data, offsets[short], offsets[short + 1])
     if not distinct:
-        return hashed, begin
-    out = [np.unique(hashed[a:b]) for a, b in zip(begin[:-1], begin[1:])]
+        return hashed, first
+    out = [np.unique(hashed[a:b]) for a, b in zip(first[:-1], first[1:])]
     counts = np.array([len(x) for x in out], dtype=np.int64)
     return (np.concatenate(out) if out else hashed), np.concatenate([[0], np.cumsum(counts)])
 
 
+def _window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash that ``span_hashes`` gives to every window of `size` bytes."""
+    out = np.empty(len(data) - size + 1, dtype=np.uint64)
+    for low in range(0, len(out), _BLOCK):
+        n = min(_BLOCK, len(out) - low)
+        up, down = _power_tables(n + size)
+        part = data[low:low + n + size - 1].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[:len(part)], out=sums[1:])
+        out[low:low + n] = (sums[size:size + n] - sums[:n]) * down[:n]
+    with np.errstate(over="ignore"):
+        return mix(out ^ (np.uint64(size) * _GOLDEN))
+
+
 def intersections(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
                   ) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of intersection and union of the sets of row i in both sides."""
