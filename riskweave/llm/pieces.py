@@ -6,9 +6,9 @@ of its UTF-8 byte pieces. The forward pass sums the weights of all paths to each
 pass draws a path from the end with exactly its share of the total weight. Draws are seeded by the
 row key alone, so a row has the same segmentation on every run and machine.
 
-No piece contains a blank after another character, so the lattice falls into independent units (blanks and
-what follows up to the next blank), whose forward pass is kept per worker. A unit of more than
-LONGEST characters is cut there. A literal U+2581 in a text is written in byte pieces, so decoding
+No piece has a blank after another character or letters beside other characters, so the lattice falls
+into independent units (blanks and the letters, or the other characters, that follow), whose forward
+pass is kept per worker. A unit of more than LONGEST characters is cut there. A literal U+2581 in a text is written in byte pieces, so decoding
 gives back every text exactly.
 
 Defined cases: a null or empty text has no pieces (and decodes to null or to the empty text). Rows
@@ -18,7 +18,6 @@ table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import math
 import random
 from array import array
 from bisect import bisect
@@ -33,10 +32,13 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 LONGEST = 4096
+_CROSSING = regex.compile(r"[^ ] |\p{L}[^\p{L} ]|[^\p{L} ]\p{L}")
+#: Weight of one byte piece.
+SPELLED = 1e-5
 #: Units whose forward pass a worker keeps, in two generations of this size.
 CACHE = 60_000
 #: Pieces in one output batch, about.
-BATCH = 500_000
+BATCH = 200_000
 
 
 class Lattice:
@@ -58,59 +60,65 @@ class Lattice:
             else:
                 self.ids[piece.replace(BLANK, " ")] = i
                 self.raw.append(piece.replace(BLANK, " ").encode())
-        if any(regex.search("[^ ] ", p) for p in self.ids):
-            raise ValueError("a piece with a blank after another character would cross units")
-        # breaks that are in no piece separate units too
+        if any(_CROSSING.search(p) for p in self.ids):
+            raise ValueError("a piece that joins letters and others would cross units")
+        # breaks that are in no piece are units by themselves
         breaks = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
-        self.units = regex.compile(f"[{breaks}]| *[^ {breaks}]+| +" if breaks else " *[^ ]+| +")
+        self.units = regex.compile(rf" *\p{{L}}+| *[^\p{{L}} {breaks}]+| +"
+                                   + (f"|[{breaks}]" if breaks else ""))
         order = sorted(self.ids.values())
         rank = {i: r for r, i in enumerate(order)}
-        self.weight = {p: -alpha * math.log(rank[i] + 2) for p, i in self.ids.items()}
+        self.weight = {p: (rank[i] + 2.0) ** -alpha for p, i in self.ids.items()}
+        # what a piece can start with; 0 where that is no piece itself
+        self.heads = {p[:k]: 0.0 for p in self.ids for k in range(1, len(p))} | self.weight
         self.longest = max(map(len, self.ids))
-        self._young: dict[str, list] = {}
-        self._old: dict[str, list] = {}
-
-    def forward(self, unit: str) -> list:
-        """For every end place: cumulative shares of the edges into it and (start, ids) of each."""
-        total = [0.0]
-        places: list = [None]
-        weight, ids, longest = self.weight, self.ids, self.longest
-        for end in range(1, len(unit) + 1):
-            logs, edges = [], []
-            for start in range(max(0, end - longest), end):
-                piece = unit[start:end]
-                w = weight.get(piece)
-                if w is not None:
-                    logs.append(total[start] + w)
-                    edges.append((start, (ids[piece],)))
-            if unit[end - 1] not in ids:
-                spelled = tuple(self.byte_ids[b] for b in unit[end - 1].encode())
-                logs.append(total[end - 1] - 12.0 * len(spelled))
-                edges.append((end - 1, spelled))
-            if len(edges) == 1:
-                total.append(logs[0])
-                places.append((None, edges))
-                continue
-            top = max(logs)
-            shares = [math.exp(x - top) for x in logs]
-            whole = sum(shares)
-            total.append(top + math.log(whole))
-            run, cumulative = 0.0, []
-            for x in shares[:-1]:
-                run += x / whole
-                cumulative.append(run)
-            places.append((cumulative, edges))
-        return places
-
-    def _known(self, unit: str) -> list:
-        places = self._old.get(unit)
-        if places is None:
-            places = self.forward(unit)
+        self._young: dict[str, tuple] = {}
+        self._old: dict[str, tuple] = {}
+
+    def forward(self, unit: str) -> tuple[array, array, array]:
+        """Edges by end place: (offsets of the places, running sums of path weights, starts).
+
+        The edges into place i are offsets[i - 1]:offsets[i]; an edge that is no piece is the byte
+        spelling of the character before the place. Weights are divided by those of the paths to the
+        place before, so that long units neither vanish nor overflow. Flat arrays keep a unit small.
+        """
+        n, heads = len(unit), self.heads.get
+        into: list[list[int]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            for end in range(start + 1, n + 1):
+                w = heads(unit[start:end])
+                if w is None:
+                    break
+                if w:
+                    into[end].append(start)
+        offsets, sums, starts = array("i", [0]), array("d"), array("i")
+        weight, total = self.weight, [1.0]
+        for end in range(1, n + 1):
+            run = 0.0
+            for start in into[end]:
+                run += total[start] * weight[unit[start:end]]
+                sums.append(run)
+            starts.extend(into[end])
+            if unit[end - 1] not in weight:
+                run += total[end - 1] * SPELLED ** len(unit[end - 1].encode())
+                sums.append(run)
+                starts.append(end - 1)
+            offsets.append(len(starts))
+            total.append(run)
+            if run < 1e-120:  # only ratios matter: lift the places that pieces can still start from
+                for k in range(max(0, end - self.longest), end + 1):
+                    total[k] /= run
+        return offsets, sums, starts
+
+    def _known(self, unit: str) -> tuple[array, array, array]:
+        edges = self._old.get(unit)
+        if edges is None:
+            edges = self.forward(unit)
         if len(unit) <= 64:
             if len(self._young) >= CACHE:
                 self._old, self._young = self._young, {}
-            self._young[unit] = places
-        return places
+            self._young[unit] = edges
+        return edges
 
     def sample(self, value: str, key: object, seed: int = 42) -> array:
         """Piece ids of one path through the text's lattice, drawn with the row key as seed."""
@@ -119,18 +127,26 @@ class Lattice:
             return out
         digest = blake2b(f"{seed}:{'null' if key is None else key}".encode(), digest_size=8)
         draw = random.Random(int.from_bytes(digest.digest(), "little")).random
-        young = self._young.get
+        ids = self.ids.get
         for unit in self._split(" " + value):
-            places = young(unit)
-            if places is None:
-                places = self._known(unit)
+            edges = self._young.get(unit)
+            if edges is None:
+                edges = self._known(unit)
+            offsets, sums, starts = edges
             at, path = len(unit), []
             while at:
-                cumulative, edges = places[at]
-                at, found = edges[0 if cumulative is None else bisect(cumulative, draw())]
-                path.append(found)
-            for found in reversed(path):
-                out.extend(found)
+                low, high = offsets[at - 1], offsets[at] - 1
+                # the last edge takes what rounding leaves of the total
+                k = low if high == low else bisect(sums, draw() * sums[high], low, high)
+                start = starts[k]
+                piece = ids(unit[start:at])
+                if piece is not None:
+                    path.append(piece)
+                else:
+                    path.extend(self.byte_ids[b] for b in reversed(unit[start].encode()))
+                at = start
+            path.reverse()
+            out.extend(path)
         return out
 
     def _split(self, value: str):

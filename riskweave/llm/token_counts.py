@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters of a text cut into pretokens at once; cuts lie between a word and white space.
 PIECE = 1 << 18
-#: Pretokens whose counts a worker keeps.
-CACHE = 400_000
+#: Pretokens whose counts, and token pairs whose verdicts, a worker keeps.
+CACHE = 500_000
+#: Stands for the token before the first one.
+NONE = (1 << 20) - 1
 
 
 def _byte_letters() -> dict[str, int]:
@@ -62,7 +64,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len)[::-1])))
         self.pattern = regex.compile(PATTERN)
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.raw = {i: t for t, i in self.vocab.items()}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[str, int] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -76,24 +79,34 @@ class PrefixCounter:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, before: bytes, token: bytes) -> bool:
-        known = self._pairs.get((before, token))
-        if known is None:
-            whole = self.merged(before + token)
-            known = whole == [before, token] if before else whole == [token]
-            if len(self._pairs) >= 4 * CACHE:
-                self._pairs.clear()
-            self._pairs[before, token] = known
+    def _may_follow(self, before: int, token: int) -> bool:
+        """Do two tokens (or, after NONE, one) stay as they are when encoded together?"""
+        raw = self.raw
+        whole = self.merged(raw[before] + raw[token] if before != NONE else raw[token])
+        known = whole == ([raw[before], raw[token]] if before != NONE else [raw[token]])
+        if len(self._pairs) >= CACHE:
+            self._pairs.clear()
+        self._pairs[before << 20 | token] = known
         return known
 
     def prefixes(self, data: bytes) -> list[int]:
         """Number of tokens of data[:i] for every i from 0 to len(data)."""
-        last, count = [b""], [0]
+        last, count = [NONE], [0]
+        vocab, pairs, longest = self.vocab.get, self._pairs.get, self.longest
         for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = data[j:i]
-                if token in self.vocab and self._may_follow(last[j], token) \
-                        and (j == 0 or self._may_follow(b"", token)):
+            for j in range(max(0, i - longest), i):
+                token = vocab(data[j:i])
+                if token is None:
+                    continue
+                before = last[j]
+                known = pairs(before << 20 | token)
+                if known is None:
+                    known = self._may_follow(before, token)
+                if known and j:
+                    known = pairs(NONE << 20 | token)
+                    if known is None:
+                        known = self._may_follow(NONE, token)
+                if known:
                     last.append(token)
                     count.append(count[j] + 1)
                     break

@@ -21,10 +21,10 @@ def paths(lattice, unit):
     for n in range(1, len(unit) + 1):
         head = unit[:n]
         if head in lattice.weight:
-            step = ((lattice.ids[head],), math.exp(lattice.weight[head]))
+            step = ((lattice.ids[head],), lattice.weight[head])
         elif n == 1:
             spelled = tuple(lattice.byte_ids[b] for b in head.encode())
-            step = (spelled, math.exp(-12.0 * len(spelled)))
+            step = (spelled, pieces.SPELLED ** len(spelled))
         else:
             continue
         for rest, w in paths(lattice, unit[n:]).items():
@@ -55,6 +55,8 @@ def test_round_trip_of_many_texts():
         assert lattice.decode(ids) == value
         if "▁" not in value and "\x00" not in value:
             assert library.decode(list(ids)) == value
+    mixed = "".join(rng.choice("aé日e") for _ in range(9000))
+    assert lattice.decode(lattice.sample(mixed, 5)) == mixed
     long = "z" * (3 * pieces.LONGEST + 5)
     assert lattice.decode(lattice.sample(long, 1)) == long
 
