@@ -54,11 +54,6 @@ def outcome(col: Column, outcomes: dict[str, int]) -> Column:
     return F.create_map(*pairs)[col].cast("int")
 
 
-def classify(score: Column, threshold: Column | float) -> Column:
-    """1 when the score reaches the threshold."""
-    return (score >= threshold).cast("int")
-
-
 def band(col: Column, limits: list[float], labels: list[str]) -> Column:
     """Right-closed bands: values up to limits[0] get labels[0], beyond the last get labels[-1]."""
     expr = F.when(col.isNull(), F.lit(None).cast("string"))

@@ -37,8 +37,11 @@ def portable_uniform(row: Column, draw: Column | int = 0, seed: int = 42) -> Col
     return portable_hash(row, draw, seed) / F.lit(float(MODULUS))
 
 
-def poisson_one(u: Column, most: int = 12) -> Column:
-    """Poisson(1) count by inverting the distribution function at a uniform u."""
+def poisson_one(u: Column, most: int = 18) -> Column:
+    """Poisson(1) count by inverting the distribution function at a uniform u.
+
+    The mass above 18 is 3e-18, below the resolution of a double next to one, so no draw is cut.
+    """
     counts, cumulative, mass = F.lit(0), 0.0, math.exp(-1.0)
     for k in range(most):
         cumulative += mass

@@ -37,6 +37,14 @@ def paired_check(left: DataFrame, right: DataFrame) -> DataFrame:
                    F.count_if((F.col("l") == 0) | (F.col("r") == 0)).alias("unpaired"))
 
 
+def require_scores(wide: DataFrame, sets: list[str], label: str) -> None:
+    """Refuse rows without a label or without a score of every set: the tests are paired, and a row
+    that only some sets have would change the results of the others."""
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in [label, *sets]]) == 1
+    if not wide.where(missing).isEmpty():
+        raise ValueError("paired tests need a label and a score of every set in every row")
+
+
 def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> DataFrame:
     """AUCs and their covariance for every pair of score sets (each set with itself included).
 
@@ -46,6 +54,7 @@ def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> Da
     distinct score with running sums gives the component of a score, and one lookup per set (unique
     on the histogram side) brings it back.
     """
+    require_scores(wide, sets, label)
     cuts = cut_points(wide, sets)
     combos = complete(wide, [label, *sets]).groupBy(label, *sets).agg(F.count(F.lit(1)).alias("w"))
     rows = combos
@@ -143,6 +152,7 @@ def mcnemar(wide: DataFrame, pairs: list[tuple[str, str]], thresholds: Column,
     aggregate counts the cells of every pair in a single pass.
     """
     sets = list(dict.fromkeys(s for pair in pairs for s in pair))
+    require_scores(wide, sets, label)
     right = wide.select(*[((F.col(s) >= thresholds[s]).cast("int") == F.col(label)).alias(s)
                           for s in sets])
     counts = right.agg(*[f(F.col(a), F.col(b)).alias(f"{k}{i}")
@@ -195,8 +205,9 @@ def bootstrap_paired(wide: DataFrame, pairs: list[tuple[str, str]], thresholds:
     """
     uniform = uniform or (lambda i, b: strong_uniform(i, b, seed=seed))
     sets = list(dict.fromkeys(s for pair in pairs for s in pair))
+    require_scores(wide, sets, label)
     # every row becomes `replicates` rows, so the rows are spread over all tasks first
-    rows = wide.select(id_col, label, *sets).dropna().repartition(
+    rows = wide.select(id_col, label, *sets).repartition(
         default_buckets(wide.sparkSession))
     drawn = (rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
              # a column of its own, because the count compares it many times

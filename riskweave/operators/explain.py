@@ -178,6 +178,9 @@ def lime_batch(instances: DataFrame, fitted, train: DataFrame, numeric: list[str
     """
     # bins and categories per feature, never rows
     summary = reference_summary(train, numeric, categorical).collect()
+    empty = set(numeric) - {r["variable"] for r in summary}
+    if empty:
+        raise ValueError(f"numeric columns without any value: {', '.join(sorted(empty))}")
     filled = _fill(instances, train, numeric)
     per_seed = filled.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds])))
     near = perturb(per_seed, summary, numeric, categorical, samples, F.col("_s"))

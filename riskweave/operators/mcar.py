@@ -30,6 +30,8 @@ def little_mcar(df: DataFrame, columns: list[str], max_iter: int = 200,
                 tol: float = 1e-6) -> DataFrame:
     """Statistic, degrees of freedom, p and number of patterns, as one row.
 
+    p is NULL when the EM steps have not converged; a column without any value is an error.
+
     Under normality the EM steps need the rows only through the sums of each pattern (the
     conditional mean is linear in the observed part). Those come from one distributed aggregate;
     the iterations run on matrices of size columns x columns, one per pattern.
@@ -46,10 +48,13 @@ def little_mcar(df: DataFrame, columns: list[str], max_iter: int = 200,
                 cross[i, j] = cross[j, i] = row[f"s_{a}__{columns[j]}"] or 0.0
         groups.append((row["n"], seen, total, cross))
     n = sum(g[0] for g in groups)
+    empty = [c for k, c in enumerate(columns) if not any(g[1][k] for g in groups)]
+    if empty:
+        raise ValueError(f"columns without any value: {', '.join(empty)}")
     count = sum(g[0] * g[1] for g in groups)
     mean = sum(g[2] for g in groups) / count
     cov = np.diag(sum(np.diag(g[3]) for g in groups) / count - mean ** 2)
-    done = 0
+    done, converged = 0, False
     for done in range(1, max_iter + 1):
         first, second = np.zeros(p), np.zeros((p, p))
         for size, seen, total, cross in groups:
@@ -71,7 +76,8 @@ def little_mcar(df: DataFrame, columns: list[str], max_iter: int = 200,
         new_cov = second / n - np.outer(new_mean, new_mean)
         change = max(np.abs(new_mean - mean).max(), np.abs(new_cov - cov).max())
         mean, cov = new_mean, new_cov
-        if change < tol * (1 + np.abs(cov).max()):
+        converged = bool(change < tol * (1 + np.abs(cov).max()))
+        if converged:
             break
     statistic, dof = 0.0, -p
     for size, seen, total, _ in groups:
@@ -79,7 +85,8 @@ def little_mcar(df: DataFrame, columns: list[str], max_iter: int = 200,
             gap = total[seen] / size - mean[seen]
             statistic += size * gap @ np.linalg.pinv(cov[np.ix_(seen, seen)]) @ gap
             dof += int(seen.sum())
-    rows = [(float(statistic), dof, len(groups), done)]
+    rows = [(float(statistic), dof, len(groups), done, converged)]
     result = df.sparkSession.createDataFrame(
-        rows, "statistic double, dof int, patterns int, iterations int")
-    return result.withColumn("p", chi2_sf("statistic", F.col("dof").cast("double")))
+        rows, "statistic double, dof int, patterns int, iterations int, converged boolean")
+    p = chi2_sf("statistic", F.col("dof").cast("double"))
+    return result.withColumn("p", F.when(F.col("converged"), p))

@@ -289,9 +289,15 @@ def density_curves(df: DataFrame, columns: list[str], by: str, bins: int = 200,
 
 def nullity_sample(df: DataFrame, id_col: str, order: str, columns: list[str], sample: Column,
                    n: int) -> DataFrame:
-    """Missing flags of a fixed-size random sample, in date order (the sample is the feature)."""
+    """Missing flags of a fixed-size random sample, in date order (the sample is the feature).
+
+    Columns without any missing or without any present value tell nothing and are left out.
+    """
+    some = df.agg(*[F.count(c).alias(c) for c in columns], F.count(F.lit(1)).alias("_n")).first()
+    partly = [c for c in columns if 0 < some[c] < some["_n"]]
     picked = df.orderBy(sample, F.col(id_col)).limit(n)
-    return picked.select(id_col, order, *[F.col(c).isNull().cast("int").alias(c) for c in columns])
+    return picked.select(id_col, order, *[F.col(c).isNull().cast("int").alias(c) for c in partly]
+                         ).orderBy(order, id_col)
 
 
 def first_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
@@ -328,25 +334,18 @@ def key_set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
                 "side", F.lit("right_only"))))
 
 
-def column_policy(profile: DataFrame, explicit: dict[str, str], leakage: list[str],
-                  numeric: list[str], categorical: list[str], log1p: list[str] = ()) -> DataFrame:
-    """Decision per column from ordered rules over the missing-data profile.
+def column_policy(profile: DataFrame, rules: list[tuple[Column, Column | str]],
+                  otherwise: str) -> DataFrame:
+    """Decision per column: the text of the first rule that holds.
 
-    ``profile`` has ``variable`` and ``pct`` (missing share in percent).
+    ``profile`` has ``variable`` and ``pct`` (missing share in percent); a rule is a condition on
+    them and the text of its decision.
     """
-    name, pct = F.col("variable"), F.col("pct")
-    rules = F.when(F.lit(False), F.lit(None).cast("string"))
-    for column, text in explicit.items():
-        rules = rules.when(name == column, text)
-    imputed = F.when(pct > 0, "impute train median").otherwise("complete")
-    rules = (rules.when(name.isin(list(leakage)), "known only afterwards: drop")
-             .when(pct > 70, "more than 70 % missing: drop")
-             .when(name.isin(list(categorical)), "category: group rare and one-hot encode")
-             .when(name.isin(list(numeric)), F.concat(
-                 imputed, F.when(name.isin(list(log1p)), " + log1p").otherwise("")))
-             .when(pct > 30, "30 to 70 % missing: drop")
-             .otherwise("not selected"))
-    return profile.select("variable", F.round("pct", 2).alias("pct"), rules.alias("decision"))
+    decision = F.lit(otherwise)
+    for condition, text in reversed(rules):
+        text = F.lit(text) if isinstance(text, str) else text
+        decision = F.when(condition, text).otherwise(decision)
+    return profile.select("variable", F.round("pct", 2).alias("pct"), decision.alias("decision"))
 
 
 def decisions_count(policy: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def vector_means(spark, sf):
     """Column means of the assembled vector on test: scaled numerics and one-hot columns."""
     data, fitted = _fitted(spark, sf)
     test = features.model_input(fitted, split.only(data, "test"))
-    names = features.feature_names(test, numeric=_BLOCK)
+    names = features.feature_names(fitted, ORDERS)
     return tidy(features.vector_means(test, names))
 
 
@@ -257,28 +257,24 @@ def ml_input(spark, sf) -> tuple[DataFrame, DataFrame]:
     return _ML[key]
 
 
-# The registered searches fit a corner of the full grids; `train.candidates` holds all of them.
-_GRIDS = {
-    "LogisticRegression": {"regParam": train.REG_PARAMS},
-    "DecisionTree": {"maxDepth": [5, 10]},
-    "ProbabilityTree": {"maxDepth": [5, 10]},
-    "RandomForest": {"numTrees": [10], "maxDepth": [5, 10]},
-    "ProbabilityForest": {"numTrees": [10], "maxDepth": [5]},
-    "GradientBoosting": {"maxIter": [10], "maxDepth": [3]},
-    "LinearSVC": {"regParam": [1e-5, 1e-4]},
-    "NaiveBayes": {},
-}
+#: Grid points fitted at the same time; the fits of small tables leave most tasks idle.
+_PARALLEL = 8
+_MODELS = ["LogisticRegression", "DecisionTree", "ProbabilityTree", "RandomForest",
+           "ProbabilityForest", "GradientBoosting", "LinearSVC", "NaiveBayes"]
+_TUNED: dict[tuple[str, str, str], train.Tuned] = {}
 
 
 def tuned(spark, sf, name: str) -> tuple[train.Tuned, DataFrame, DataFrame]:
+    """The whole grid of a model, searched once per application and shared by its queries."""
     train_rows, test_rows = ml_input(spark, sf)
-    fit_rows = train_rows.persist()
-    n_features = fit_rows.first()["features"].size
-    candidate = train.candidates(n_features)[name]
-    candidate.grid = _GRIDS[name]
-    result = train.tune(name, candidate, fit_rows, fold_col="fold")
-    fit_rows.unpersist()
-    return result, train_rows, test_rows
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TUNED:
+        fit_rows = train_rows.persist()
+        n_features = fit_rows.first()["features"].size
+        _TUNED[key] = train.tune(name, train.candidates(n_features)[name], fit_rows,
+                                 fold_col="fold", parallelism=_PARALLEL)
+        fit_rows.unpersist()
+    return _TUNED[key], train_rows, test_rows
 
 
 def fit_record(spark, sf, name: str) -> DataFrame:
@@ -297,7 +293,7 @@ def fit_record(spark, sf, name: str) -> DataFrame:
     return rows.withColumn("overfit_gap", F.col("auc_train") - F.col("auc"))
 
 
-for _name in _GRIDS:
+for _name in _MODELS:
     query(f"tuned_{_name.lower()}")(lambda spark, sf, name=_name: fit_record(spark, sf, name))
 
 
@@ -356,7 +352,7 @@ def score_store_roundtrip(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)
     path = scratch_path(spark, "score_store")
     for name, reg in (("lr", 1e-5), ("lr2", 1e-3), ("lr", 1e-4)):
-        model = LogisticRegression(regParam=reg, maxIter=10).fit(train_rows)
+        model = LogisticRegression(regParam=reg, maxIter=100).fit(train_rows)
         score_store.write_scores(evaluate.score_rows(model, test_rows), path, "spark", name)
     return score_store.read_scores(spark, path, "spark").groupBy("pipeline", "model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
@@ -367,7 +363,7 @@ def model_roundtrip(spark, sf):
     """Feature pipeline and classifier saved as one model, loaded, and compared on the test rows."""
     data = with_split(spark, sf)
     whole = features.build_pipeline(ORDERS, extra=[LogisticRegression(
-        labelCol="target", maxIter=10)]).fit(split.only(data, "train"))
+        labelCol="target", maxIter=100)]).fit(split.only(data, "train"))
     path = scratch_path(spark, "model")
     tables.save_model(whole, path)
     loaded = tables.load_model(path)
@@ -384,7 +380,7 @@ def model_comparison(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)
     wide = None
     for name, model in (
-            ("lr", LogisticRegression(regParam=1e-5, maxIter=20).fit(train_rows)),
+            ("lr", LogisticRegression(regParam=1e-5, maxIter=100).fit(train_rows)),
             ("nb", NaiveBayes(modelType="gaussian").fit(train_rows))):
         scored = evaluate.score_rows(model, test_rows).withColumnRenamed("score", name)
         wide = scored if wide is None else wide.join(scored.drop("label"), "id")
@@ -397,7 +393,7 @@ def _explainable(spark, sf):
     data = with_split(spark, sf)
     rows = split.only(data, "train")
     whole = features.build_pipeline(ORDERS, extra=[LogisticRegression(
-        labelCol="target", maxIter=10)]).fit(rows)
+        labelCol="target", maxIter=100)]).fit(rows)
     test = split.only(data, "test")
     scored = evaluate.score_rows(whole, test, label="target")
     worst = scored.select("id", F.abs(F.col("score") - F.col("label")).alias("miss")).orderBy(
@@ -409,7 +405,7 @@ def _explainable(spark, sf):
 def lime_batch(spark, sf):
     whole, rows, instances = _explainable(spark, sf)
     return explain.lime_batch(instances, whole, rows, NUMERIC, [*FLAGS, *CATEGORICAL],
-                              samples=1000)
+                              samples=5000)
 
 
 @query("lime_stability")
@@ -417,7 +413,7 @@ def lime_stability(spark, sf):
     whole, rows, instances = _explainable(spark, sf)
     seeds = [0, 1, 2, 3, 4]
     runs = explain.lime_batch(instances, whole, rows, NUMERIC, [*FLAGS, *CATEGORICAL],
-                              samples=1000, seeds=seeds)
+                              samples=5000, seeds=seeds)
     return explain.condition_stability(runs, len(seeds))
 
 
@@ -442,25 +438,28 @@ def reference_summary(spark, sf):
 def fit_scale_curve(spark, sf):
     """Fit time and AUC for growing shares and copies of the training rows."""
     train_rows, test_rows = ml_input(spark, sf)
-    return experiments.scale_curve(train_rows, test_rows, ["lr", "dt"], [0.1, 0.5, 1.0], [2])
+    return experiments.scale_curve(train_rows, test_rows, {
+        "LogisticRegression": {"regParam": 1e-5}, "DecisionTree": {"maxDepth": 10},
+        "RandomForest": {"maxDepth": 10, "numTrees": 50}})
 
 
 @query("fit_time_ratios")
 def fit_time_ratios(spark, sf):
     """Ratio of two models' fit times by size and the first size at which the second is faster."""
     curve = materialise(fit_scale_curve(spark, sf), "curve")
-    wide = curve.groupBy("n_train").pivot("model", ["lr", "dt"]).agg(F.first("fit_seconds"))
-    wins = experiments.first_win(wide.withColumn("all", F.lit("lr against dt")), "all", "n_train",
-                                 "lr", "dt")
-    ratios = experiments.timing_ratios(curve, "n_train", "model", "lr", "dt", "fit_seconds")
+    pair = ["LogisticRegression", "DecisionTree"]
+    wide = curve.groupBy("n_train").pivot("model", pair).agg(F.first("fit_seconds"))
+    wins = experiments.first_win(wide.withColumn("all", F.lit(" against ".join(pair))), "all",
+                                 "n_train", *pair)
+    ratios = experiments.timing_ratios(curve, "n_train", "model", *pair, "fit_seconds")
     return ratios.withColumn("wins_from", wins.select("wins_from").scalar())
 
 
 @query("partition_variants")
 def partition_variants(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)
-    return experiments.partition_variants(train_rows, test_rows, [8, 32], "DecisionTree", [1, 3],
-                                          grid={"maxDepth": [5]})
+    return experiments.partition_variants(train_rows, test_rows, [8, 32, 128], "DecisionTree",
+                                          [1, 3])
 
 
 @query("cache_variants")
@@ -472,13 +471,13 @@ def cache_variants(spark, sf):
 @query("max_bins_variants")
 def max_bins_variants(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)
-    return experiments.bin_variants(train_rows, test_rows, [5, 10], [32, 128])
+    return experiments.bin_variants(train_rows, test_rows)
 
 
 @query("pruning_variants")
 def pruning_variants(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)
-    return experiments.pruning_variants(train_rows, test_rows, [2, 3, 5])
+    return experiments.pruning_variants(train_rows, test_rows)
 
 
 @query("pending_fits", """

@@ -351,7 +351,7 @@ def density_by_class(spark, sf):
 
 @query("nullity_sample", BASE_SQL + f""", s AS (
 SELECT *, {portable_sql('id', '0')} AS h FROM base ORDER BY h, id LIMIT 2000)
-SELECT id, issue_year, {', '.join(f'({c} IS NULL)::INTEGER AS {c}' for c in NUM)} FROM s""")
+SELECT id, issue_year, {', '.join(f'({c} IS NULL)::INTEGER AS {c}' for c in NUM[1:])} FROM s""")
 def nullity_sample(spark, sf):
     return profile.nullity_sample(prepared(spark, sf), "id", "issue_year", NUMERIC,
                                   portable_hash(F.col("id")), 2000)
@@ -422,26 +422,31 @@ def replicated_rows(spark, sf):
 _POLICY_SQL = BASE_SQL + ", m AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, 100e0 * (count(*) - count({c})) / count(*) AS pct FROM base"
     for c in _ALL) + f"""), d AS (SELECT variable, round(pct, 2) AS pct, CASE
-WHEN variable = 'id' THEN 'identifier: keep' WHEN variable = 'target' THEN 'outcome: keep'
-WHEN variable = 'issue_year' THEN 'date: descriptive only'
-WHEN variable = 'return_flag' THEN 'known only afterwards: drop'
-WHEN pct > 70 THEN 'more than 70 % missing: drop'
+WHEN variable = 'id' THEN 'key: carry along' WHEN variable = 'target' THEN 'label: carry along'
+WHEN variable = 'issue_year' THEN 'cohort: report only'
+WHEN variable = 'return_flag' THEN 'written after the outcome: leave out'
+WHEN pct > 70 THEN 'mostly empty: leave out'
 WHEN variable IN ('segment', 'nation', 'region', 'priority')
-  THEN 'category: group rare and one-hot encode'
+  THEN 'category: encode'
 WHEN variable IN ({', '.join(repr(c) for c in NUM)}) THEN
-  CASE WHEN pct > 0 THEN 'impute train median' ELSE 'complete' END
-  || CASE WHEN variable IN ('total_price', 'ext_price') THEN ' + log1p' ELSE '' END
-WHEN pct > 30 THEN '30 to 70 % missing: drop' ELSE 'not selected' END AS decision FROM m)
+  CASE WHEN pct > 0 THEN 'numeric with gaps: fill from training rows' ELSE 'numeric: use' END
+  || CASE WHEN variable IN ('total_price', 'ext_price') THEN ' as logarithm' ELSE '' END
+WHEN pct > 30 THEN 'often empty: leave out' ELSE 'spare: leave out' END AS decision FROM m)
 """
 
 
 def _policy(spark, sf):
-    return profile.column_policy(
-        profile.missing_by_column(prepared(spark, sf)),
-        {"id": "identifier: keep", "target": "outcome: keep",
-         "issue_year": "date: descriptive only"},
-        ["return_flag"], NUMERIC, ["segment", "nation", "region", "priority"],
-        ["total_price", "ext_price"])
+    name, pct = F.col("variable"), F.col("pct")
+    number = F.when(pct > 0, "numeric with gaps: fill from training rows").otherwise("numeric: use")
+    log = F.when(name.isin("total_price", "ext_price"), " as logarithm").otherwise("")
+    return profile.column_policy(profile.missing_by_column(prepared(spark, sf)), [
+        (name == "id", "key: carry along"), (name == "target", "label: carry along"),
+        (name == "issue_year", "cohort: report only"),
+        (name == "return_flag", "written after the outcome: leave out"),
+        (pct > 70, "mostly empty: leave out"),
+        (name.isin("segment", "nation", "region", "priority"), "category: encode"),
+        (name.isin(NUMERIC), F.concat(number, log)),
+        (pct > 30, "often empty: leave out")], otherwise="spare: leave out")
 
 
 @query("column_policy", _POLICY_SQL + "SELECT variable, pct + 0.0 AS pct, decision FROM d")

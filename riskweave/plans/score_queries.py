@@ -248,7 +248,7 @@ def _poisson_sql(u: str) -> str:
     import math
 
     parts, total, mass = [], 0.0, math.exp(-1.0)
-    for k in range(12):
+    for k in range(18):
         total += mass
         mass /= k + 1
         parts.append(f"({u} >= {total!r}::DOUBLE)::INTEGER")

@@ -75,10 +75,10 @@ def test_loan_file_to_base_table(spark):
     first, second = rows[1], rows[2]
     assert (first["target"], second["target"]) == (0, 1)
     assert (first["term"], first["emp_length"], second["emp_length"]) == (36.0, 0.0, 10.0)
-    assert (first["antig_credito_meses"], second["antig_credito_meses"]) == (71.0, None)
+    assert (first["credit_age_months"], second["credit_age_months"]) == (71.0, None)
     assert (first["dti"], second["dti"], second["int_rate"]) == (12.5, None, None)
     assert first["annual_inc"] == 0.0 and first["home_ownership"] == "OTHER"
-    assert (first["hist_morosidad"], first["buro_faltante"]) == (0.0, 1.0)
+    assert (first["had_delinquency"], first["balance_missing"]) == (0.0, 1.0)
     assert first["issue_year"] == 2015
 
 
@@ -141,11 +141,14 @@ def test_policy_order(spark):
     prof = spark.createDataFrame([("id", 0.0), ("late", 90.0), ("gone", 80.0), ("num", 5.0),
                                   ("cat", 0.0), ("half", 40.0), ("rest", 0.0)],
                                  "variable string, pct double")
-    rows = profile.column_policy(prof, {"id": "identifier: keep"}, ["late"], ["num"], ["cat"], ["num"])
+    name, pct = F.col("variable"), F.col("pct")
+    rows = profile.column_policy(prof, [
+        (name == "id", "key: keep"), (name == "late", "late: drop"), (pct > 70, "empty: drop"),
+        (name == "num", F.concat(F.lit("number: "), F.round(pct, 0).cast("int"))),
+        (pct > 30, "gaps: drop")], "rest: drop")
     got = {r["variable"]: r["decision"] for r in rows.collect()}
-    assert got == {"id": "identifier: keep", "late": "known only afterwards: drop",
-                   "gone": "more than 70 % missing: drop", "num": "impute train median + log1p",
-                   "cat": "category: group rare and one-hot encode",
-                   "half": "30 to 70 % missing: drop", "rest": "not selected"}
+    assert got == {"id": "key: keep", "late": "late: drop", "gone": "empty: drop",
+                   "num": "number: 5", "cat": "rest: drop", "half": "gaps: drop",
+                   "rest": "rest: drop"}
     counts = {r["action"]: r["n"] for r in profile.decisions_count(rows).collect()}
-    assert counts["drop"] == 3
+    assert counts["drop"] == 5

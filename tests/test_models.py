@@ -68,7 +68,7 @@ def test_pipeline_learns_on_train_and_zeroes_unseen(spark, people):
                                  (3, 0, 0.0, 1.0, "red")],
                                 "id long, target int, x double, k double, color string")
     out = features.model_input(fitted, new)
-    names = features.feature_names(out, numeric=["x", "k"])
+    names = features.feature_names(fitted, SPEC)
     assert names == ["x", "k", "color_blue", "color_green", "color_other", "color_red"]
     rows = {r["id"]: r["features"].toArray() for r in out.collect()}
     assert rows[1][4] == 1 and rows[2][4] == 1  # unseen and missing join the grouped category
@@ -88,7 +88,7 @@ def test_category_without_group_becomes_zeros(spark, people):
 def test_median_kinds(spark, kind, value):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "a double")
     out = features.MedianImputer(inputCols=["a"], median=kind).fit(df).transform(df)
-    assert out.filter("a is null").first()["a_imp"] == value
+    assert out.filter("a is null").first()["a__filled"] == value
 
 
 def test_quotes_in_categories_survive(spark):
