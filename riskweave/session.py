@@ -74,9 +74,20 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The one folder that holds everything this application has written."""
+    return f"{scratch_root(spark)}/riskweave-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the application's scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the application has written; tables read from there are gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name: str, partition_by: list[str] = ()):
