@@ -52,6 +52,8 @@ def reference_summary(train: DataFrame, numeric: list[str], categorical: list[st
         F.first("cuts").alias("cuts"), F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
         F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("sd"), F.min("value").alias("lo"),
         F.max("value").alias("hi")).withColumn("level", F.lit(None).cast("string"))
+    if not categorical:
+        return bins
     texts = train.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
         [], categorical, "variable", "level").filter(F.col("level").isNotNull())
     levels = texts.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))

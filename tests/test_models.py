@@ -253,3 +253,20 @@ def test_overlap_of_explanations(spark):
                               "id long, condition string, weight double")
     row = explain.explanation_overlap(explain.compare_explanations(a, b)).first()
     assert (row["common"], row["either"], row["jaccard"]) == (2, 4, 0.5)
+
+
+def test_columns_without_values_are_refused(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (None, None)], "a double, b double")
+    with pytest.raises(ValueError, match="without any value: b"):
+        mcar.little_mcar(df, ["a", "b"])
+    rows = df.selectExpr("a", "b", "monotonically_increasing_id() AS id")
+    with pytest.raises(ValueError, match="without any value: b"):
+        explain.lime_batch(rows, None, rows, ["a", "b"], [], samples=5)
+
+
+def test_unconverged_em_has_no_p(spark):
+    rows = [(float(i), float(i % 3) if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    cut = mcar.little_mcar(df, ["a", "b"], max_iter=1).first()
+    assert not cut["converged"] and cut["p"] is None
+    assert mcar.little_mcar(df, ["a", "b"]).first()["converged"]
