@@ -61,7 +61,8 @@ class PrefixCounter:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[raw(a), raw(b)] = rank
-        self.longest = max(map(len, self.vocab))
+        # what a token can start with; -1 where that is no token itself
+        self.heads = {t[:k]: -1 for t in self.vocab for k in range(1, len(t))} | self.vocab
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len)[::-1])))
         self.pattern = regex.compile(PATTERN)
         self.raw = {i: t for t, i in self.vocab.items()}
@@ -91,13 +92,18 @@ class PrefixCounter:
 
     def prefixes(self, data: bytes) -> list[int]:
         """Number of tokens of data[:i] for every i from 0 to len(data)."""
-        last, count = [NONE], [0]
-        vocab, pairs, longest = self.vocab.get, self._pairs.get, self.longest
-        for i in range(1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                token = vocab(data[j:i])
+        n, heads, pairs = len(data), self.heads.get, self._pairs.get
+        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for j in range(n):
+            for i in range(j + 1, n + 1):
+                token = heads(data[j:i])
                 if token is None:
-                    continue
+                    break
+                if token >= 0:
+                    into[i].append((j, token))
+        last, count = [NONE], [0]
+        for i in range(1, n + 1):
+            for j, token in into[i]:
                 before = last[j]
                 known = pairs(before << 20 | token)
                 if known is None:
