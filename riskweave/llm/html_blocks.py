@@ -25,8 +25,8 @@ INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # A start tag of the left kind ends an open element of the right kinds.
 _CLOSES = {t: ("p",) for t in (
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
-    "h4 h5 h6 header hr main menu nav ol p pre section table ul").split()}
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 "
+    "h3 h4 h5 h6 header hr main menu nav ol p pre section table ul").split()}
 _CLOSES |= {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"),
             "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"),
             "option": ("option",), "body": ("head",)}

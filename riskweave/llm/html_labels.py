@@ -1,7 +1,7 @@
 """Labelled training pages: common layouts of web pages, composed by rule.
 
-The test tables hold pages without labels, so the extractor is trained on pages that are put together
-here from the usual parts (menus, headers, articles, adverts, notices, forms, comments, sidebars,
+The test tables hold pages without labels, so the extractor is trained on pages that are put
+together here from the usual parts (menus, headers, articles, adverts, notices, forms, comments, sidebars,
 footers) in varying order, markup and nesting. Elements of the main text carry data-main="1"; the
 mark is a label and never a feature. Words are random letters: only markup, lengths, punctuation and
 a few cue phrases can be learned.

@@ -5,8 +5,8 @@
    all texts share arrives as one row per batch.
 2. In sorted order every bucket yields its members next to its smallest id: a star, not all pairs.
 3. Every member is verified with the star partner it shares most bands with; components follow.
-4. Buckets that still hold several components are the rest: there, texts outside the largest component
-   are compared with the texts of other components in blocks. First they try only their most similar
+4. Buckets that still hold several components are the rest: there, texts outside the largest
+   component are compared with the texts of other components in blocks. First they try only their most similar
    partners among some of a block, which connects large groups without comparing all their pairs;
    at last all that passes the estimate is verified. Then every pair that shares a band is verified
    or already connected.
