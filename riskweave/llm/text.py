@@ -192,18 +192,29 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5
 
 def char_shingles(data: np.ndarray, offsets: np.ndarray, size: int, distinct: bool = True
                   ) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of `size` bytes of every text; a shorter text is its own shingle."""
-    length = np.diff(offsets)
+    """Shingles of `size` code points of every text; a shorter text is its own shingle."""
+    begins = (data & 0xC0) != 0x80  # first bytes of UTF-8 characters
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    ascii_only = bool(begins.all())
+    starts = None if ascii_only else np.flatnonzero(begins)
+    at = offsets if ascii_only else np.searchsorted(starts, offsets)  # in characters
+    length = np.diff(at)
     long = length >= size
     counts = np.where(long, length - size + 1, (length > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(counts)])
-    whole = np.ones(max(len(data) - size + 1, 0), dtype=bool)
+    whole = np.ones(max(int(at[-1]) - size + 1, 0), dtype=bool)
     for k in range(1, size):  # windows that would reach into the next text
-        ends = offsets[1:] - k
+        ends = at[1:] - k
         whole[ends[(ends >= 0) & (ends < len(whole))]] = False
     hashed = np.empty(first[-1], dtype=np.uint64)
     is_long = np.repeat(long, counts)
-    hashed[is_long] = _window_hashes(data, size)[whole] if len(whole) else 0
+    if not len(whole):
+        pass
+    elif ascii_only:
+        hashed[is_long] = _window_hashes(data, size)[whole]
+    else:
+        edges = np.append(starts, len(data))
+        hashed[is_long] = span_hashes(data, starts[:len(whole)][whole], edges[size:][whole])
     if not long.all():
         short = np.flatnonzero((length > 0) & ~long)
         hashed[~is_long] = span_hashes(data, offsets[short], offsets[short + 1])
