@@ -5,7 +5,8 @@ cross a pretoken. Within one, the encoding of a prefix ends in exactly one token
 encoding before it: the suffix token whose pair with the last token of the shorter prefix stays
 unmerged when both are encoded together. So last[i] and count[i] = count[i - len(token)] + 1 follow
 for every prefix, each pretoken is worked out once per worker, and running sums over pretokens answer
-how many tokens a prefix has and how long the longest prefix within a budget is.
+how many tokens a prefix has. The longest prefix within a budget is exact at every code point: the
+counts inside the pretoken where the budget ends are worked out again.
 
 The count of a prefix is that of encoding the prefix as a text of its own: its last pretokens can
 differ from those of the whole text (white space before a word, letters after an apostrophe, the
@@ -32,6 +33,8 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 PIECE = 1 << 18
 #: Pretokens whose counts, and token pairs whose verdicts, a worker keeps.
 CACHE = 500_000
+#: Pretokens whose prefixes are cut into other pretokens.
+_SHORT_FORMS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Stands for the token before the first one.
 NONE = (1 << 20) - 1
 
@@ -177,31 +180,89 @@ class PrefixCounter:
     def prefix_count(self, value: str, table: tuple[array, array], end: int) -> int:
         """Tokens of value[:end] as a text of its own, from the stored table and a short tail."""
         ends, counts = table
-        k = bisect_right(ends, end) - 1
-        # back to a boundary that no continuation can move: a special's end or word | white space
+        k = self._anchor(value, ends, bisect_right(ends, end) - 1, end)
+        return counts[k] + self.count(value[ends[k]:end])
+
+    @staticmethod
+    def _anchor(value: str, ends, k: int, end: int) -> int:
+        """The last boundary up to k and before end that no continuation can move: word | white space
+        or the start."""
         while k and not (ends[k] < end and value[ends[k]].isspace()
                          and not value[ends[k] - 1].isspace()):
             k -= 1
-        return counts[k] + self.count(value[ends[k]:end])
+        return k
+
+    def _inside(self, value: str, start: int, end: int, before: int, anchor: tuple[int, int],
+                budget: int) -> int | None:
+        """The longest prefix within the budget that ends in the pretoken or special value[start:end].
+
+        Cut behind its first character, a pretoken may leave that one to the white space before it;
+        cut later, it stays one pretoken, unless it is a special or a short form.
+        """
+        part = value[start:end]
+        if part in _SHORT_FORMS or self.special.fullmatch(part):
+            whole = range(end, start, -1)
+        else:
+            whole = (start + 1,)
+            if len(part) > 1 and before < budget:
+                data = part.encode()
+                row, i = self.prefixes(data), len(data)
+                for at in range(end, start + 1, -1):
+                    if before + row[i] <= budget:
+                        return at
+                    i -= len(value[at - 1].encode())
+        at, known = anchor
+        return next((i for i in whole if known + self.count(value[at:i]) <= budget), None)
+
+    def _longest(self, value: str, parts, budget: int) -> int:
+        """The longest prefix within the budget, from (start, end, tokens before and after, anchor)
+        of the pretokens and specials in order."""
+        best, over, last = 0, [], 0
+        for part in parts:
+            _, end, before, after, _ = part
+            if after <= budget:
+                best, over = end, []
+            else:
+                over.append(part)
+                if last >= budget:  # a cut can move the pretoken before, but no earlier one
+                    break
+            last = before
+        for start, end, before, _, anchor in reversed(over):
+            found = self._inside(value, start, end, before, anchor, budget)
+            if found is not None:
+                return found
+        return best
 
     def longest_prefix(self, value: str, table: tuple[array, array], budget: int) -> int:
-        """Characters of the longest stored boundary with at most `budget` tokens."""
-        return table[0][bisect_right(table[1], budget) - 1]
+        """Code points of the longest prefix with at most `budget` tokens, from the stored table."""
+        ends, counts = table
+
+        def parts():
+            # parts before the last one that fits need not be looked at
+            for k in range(max(bisect_right(counts, budget) - 1, 1), len(ends)):
+                a = self._anchor(value, ends, k - 1, ends[k])
+                yield ends[k - 1], ends[k], counts[k - 1], counts[k], (ends[a], counts[a])
+        return self._longest(value, parts(), budget)
 
     def fit(self, value: str, budget: int) -> int:
         """The same without a stored table; reads only as far as the budget lasts."""
-        at = total = 0
-        for plain, special in self._plain_parts(value):
-            for found in self.pattern.finditer(plain):
-                total += self._tokens(found.group())
-                if total > budget:
-                    return at
-                at += len(found.group())
-            total += bool(special)
-            if total > budget:
-                return at
-            at += len(special)
-        return at
+        def parts():
+            at = total = 0
+            anchor = (0, 0)
+            for plain, special in self._plain_parts(value):
+                for p, n in self._pieces(plain, special):
+                    if at and value[at].isspace() and not value[at - 1].isspace():
+                        anchor = (at, total)
+                    yield at, at + len(p), total, total + n, anchor
+                    at, total = at + len(p), total + n
+        return self._longest(value, parts(), budget)
+
+    def _pieces(self, plain: str, special: str):
+        """(pretoken, tokens) of a text one by one, then the special string behind it."""
+        for found in self.pattern.finditer(plain):
+            yield found.group(), self._tokens(found.group())
+        if special:
+            yield special, 1
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -229,8 +290,8 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars): fit_chars is the longest stored boundary
-    whose prefix has at most `limit` tokens."""
+    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars): fit_chars is the number of code
+    points of the longest prefix that has at most `limit` tokens."""
     def run(batches):
         known = counter(path)
         for batch in batches:

@@ -79,3 +79,38 @@ def test_rows(spark, library):
     tables = prefix_tables(frame(spark, rows[4:6]), PATH).collect()
     assert all(r.counts[-1] == library(rows[4][1]) for r in tables)
     assert token_counts(empty(spark), PATH).count() == 0
+
+
+def brute_fit(library, value, budget):
+    return max(end for end in range(len(value) + 1) if library(value[:end]) <= budget)
+
+
+def test_fit_is_exact_in_one_long_run(counter, library):
+    rng = random.Random(6)
+    runs = ["".join(rng.choice("0123456789abcdef") for _ in range(150)),
+            "".join(rng.choice("ABCDxyz") for _ in range(150)), " " * 150, "\n" * 75 + "x", "=" * 150,
+            "#-" * 75, "日本語の文章" * 25, "ไม่มีช่องว่าง" * 10, "7" * 150]
+    for run in runs:
+        for value in (run, "two words " + run + " and more"):
+            table = counter.table(value)
+            for budget in (0, 1, 2, 7, 20, 60, 500):
+                want = brute_fit(library, value, budget)
+                assert counter.fit(value, budget) == want, (value, budget)
+                assert counter.longest_prefix(value, table, budget) == want, (value, budget)
+
+
+def test_fit_is_exact_in_mixed_texts(counter, library):
+    rng = random.Random(7)
+    for _ in range(150):
+        value = random_text(rng)
+        table, total = counter.table(value), library(value)
+        for budget in {0, 1, total // 3, total // 2, max(total - 1, 0), total}:
+            want = brute_fit(library, value, budget)
+            assert counter.fit(value, budget) == want, (value, budget)
+            assert counter.longest_prefix(value, table, budget) == want, (value, budget)
+
+
+def test_long_run_at_the_start_has_a_prefix(spark, library):
+    value = "".join(random.Random(8).choice("0123456789abcdef") for _ in range(400))
+    (row,) = token_counts(frame(spark, [(1, value)]), PATH, limit=50).collect()
+    assert row.fit_chars == brute_fit(library, value, 50) > 0
