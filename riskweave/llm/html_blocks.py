@@ -2,7 +2,8 @@
 
 A block is the text between two block-level tags; inline tags do not end it. White space inside a
 block becomes one space and character references are decoded. Comments, declarations, scripts,
-styles, templates and the head are no blocks.
+styles, templates and the head are no blocks. The head ends where its end tag stands or, as that may be left
+out, before the first tag or text that cannot be in it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from html import unescape
 # Tags, comments and elements without page text. Quoted attribute values may contain '>'.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg(?=[\s/])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<=/)>"  # closed by itself, empty
     r"|<(?P<raw>script|style|template|title|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S | re.I)
@@ -23,6 +25,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp "
     "small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Start tags that may stand in the head; any other one, or text, ends it.
+_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript "
+                  "noframes".split())
 # A start tag of the left kind ends an open element of the right kinds.
 _CLOSES = {t: ("p",) for t in (
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 "
@@ -130,6 +135,8 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
 
     at, head = 0, 0
     for found in _TOKEN.finditer(html):
+        if head and _BLANK.sub("", html[at:found.start()]):
+            head = 0
         if found.start() > at and not head:
             parts.append(html[at:found.start()])
             if state["links"]:
@@ -155,7 +162,7 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
         if tag == "head":
             head = 1
             continue
-        if tag == "body":
+        if tag not in _HEAD:
             head = 0
         if tag == "br":
             parts.append(" ")
@@ -178,7 +185,7 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
         parent = stack[-1]
         stack.append(Element(tag, parent.marks | marks if marks else parent.marks,
                              parent.main if main is None else main))
-    if not head:
+    if not head or _BLANK.sub("", html[at:]):
         parts.append(html[at:])
         if state["links"]:
             state["linked"] += len(html) - at

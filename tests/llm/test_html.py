@@ -78,3 +78,19 @@ def test_edge_pages(spark):
     assert {r.text for r in got if r.page_id == 1} == {""}
     assert max(r.n_chars for r in got) == 5 * 60000 + 1
     assert html_text.main_texts(df.limit(0)).count() == 0
+
+
+def test_head_without_end_tag():
+    texts = lambda html: [b[0] for b in html_blocks.blocks(html)]
+    head = "<html><head>\n<meta charset=utf-8><link href=x><title>t</title>\n<style>p{}</style> "
+    assert texts(head + "<h1>One</h1><p>Two</p>") == ["One", "Two"]
+    assert texts(head + "plain <b>text</b>") == ["plain text"]
+    assert texts(head + "only text") == ["only text"]
+    assert texts(head + "<noscript><link href=y></noscript><script>z</script></head>\n<p>b") == ["b"]
+    assert texts(head) == []
+
+
+def test_svg_that_closes_itself():
+    texts = lambda html: [b[0] for b in html_blocks.blocks(html)]
+    assert texts("<p>a</p><svg class='>' /><p>b</p><svg/><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg><g/><text>x</text></svg><p>b</p><svg a='/'>y</svg>c") == ["a", "b", "c"]
