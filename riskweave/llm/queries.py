@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import (html_text, line_dedup, mixing, near_dup, pieces, quality, rules, sharding,
-                           sql, tiling, token_counts)
+                           sql, tiling, token_counts, token_files)
 from riskweave.plans.registry import Query, shipped
 
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_files")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

@@ -16,6 +16,7 @@ COLUMNS = {
             "base_failed", "kept"],
     "op8": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
@@ -36,4 +37,4 @@ def test_query_returns_every_row(spark, name):
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 12)}
