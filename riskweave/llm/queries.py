@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import (html_text, line_dedup, mixing, near_dup, pieces, quality, rules, sharding,
-                           sql, tiling, token_counts, token_files)
+from riskweave.llm import (html_text, line_dedup, merkle, mixing, near_dup, periodic, pieces, quality,
+                           rules, sharding, sql, tiling, token_counts, token_files)
 from riskweave.plans.registry import Query, shipped
 
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op12_merkle_manifest", sql.MERKLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_runs(table(spark, sf_dir, "documents"), periodic.planted))

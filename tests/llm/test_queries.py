@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op11": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op12": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+             "collapsed_sha256"],
 }
 
 
@@ -37,4 +40,4 @@ def test_query_returns_every_row(spark, name):
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 12)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
