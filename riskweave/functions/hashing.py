@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ HASH_SPACE = 2.0 ** 63
 # Fixed values of a multiplicative generator whose arithmetic any SQL engine reproduces exactly.
 MODULUS = 2147483647
 MULTIPLIER = 48271
+_STEP, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def strong_hash(*cols: Column, seed: int = 42) -> Column:
@@ -37,14 +37,23 @@ def portable_uniform(row: Column, draw: Column | int = 0, seed: int = 42) -> Col
     return portable_hash(row, draw, seed) / F.lit(float(MODULUS))
 
 
-def poisson_one(u: Column, most: int = 18) -> Column:
-    """Poisson(1) count by inverting the distribution function at a uniform u.
+def portable_draws(rows: np.ndarray, draws: np.ndarray, seed: int = 42) -> np.ndarray:
+    """``portable_uniform`` of every row (down) and draw (across) as a matrix."""
+    first = (rows.astype(np.int64)[:, None] * 7919 + draws.astype(np.int64)[None, :] * 104729
+             + seed) % MODULUS
+    return (first * first + 12345) % MODULUS * MULTIPLIER % MODULUS / float(MODULUS)
 
-    The mass above 18 is 3e-18, below the resolution of a double next to one, so no draw is cut.
-    """
-    counts, cumulative, mass = F.lit(0), 0.0, math.exp(-1.0)
-    for k in range(most):
-        cumulative += mass
-        mass /= k + 1
-        counts = counts + (u >= cumulative).cast("int")
-    return counts
+
+def strong_draws(rows: np.ndarray, draws: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Numbers in [0, 1) for every row (down) and draw (across), from a 64-bit mixing function."""
+    row = _mixed(rows.astype(np.int64).view(np.uint64) + np.uint64(seed * _STEP & _WORD))
+    draw = _mixed(draws.astype(np.uint64) * np.uint64(_STEP) + np.uint64(1))
+    x = row[:, None] + draw[None, :]
+    return (_mixed(x) >> np.uint64(11)) * 2.0 ** -53
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of a splitmix generator, a bijection of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.clean import effect_band
-from riskweave.functions.hashing import poisson_one, strong_uniform
+from riskweave.functions.hashing import strong_draws
 from riskweave.functions.tails import binomial_half_two_sided, chi2_sf, normal_two_sided
 from riskweave.operators.evaluate import (_rates, auc_of_steps, average_precision_of_steps)
-from riskweave.operators.ranks import (complete, cut_points, default_buckets, prefix_sums,
-                                       stacked)
+from riskweave.operators.ranks import complete, cut_points, prefix_sums, spread_join
+from riskweave.operators.resample import Draws, replicate_metrics
+from riskweave.session import materialise
 
 Z975 = 1.959963984540054  # fixed value: 97.5 % point of the standard normal
 MARGIN = 0.005            # fixed value: smallest AUC difference called relevant
@@ -50,44 +51,50 @@ def auc_covariance(wide: DataFrame, sets: list[str], label: str = "label") -> Da
 
     For a positive the component of a score set is the share of negatives it outranks, for a
     negative the share of positives that outrank it, ties half. Rows are first reduced to distinct
-    (label, scores) combinations, one shuffle that every later step shares. A histogram per
-    distinct score with running sums gives the component of a score, and one lookup per set (unique
-    on the histogram side) brings it back.
+    (label, scores) combinations. In long form (set, score) one histogram with keyed running sums
+    gives the component of every score of every set and one lookup brings it back, frequent scores
+    dealt to several tasks; so the number of shuffles does not depend on the number of sets. The
+    components of a combination then meet again, one for each set.
     """
     require_scores(wide, sets, label)
     cuts = cut_points(wide, sets)
-    combos = complete(wide, [label, *sets]).groupBy(label, *sets).agg(F.count(F.lit(1)).alias("w"))
-    rows = combos
-    for s in sets:
-        hist = combos.groupBy(s).agg(
-            F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("pos"),
-            F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("neg"))
-        steps = prefix_sums(hist, [], s, ["pos", "neg"], cuts)
-        of_pos = F.try_divide(F.col("neg_before") + F.col("neg") / 2, F.col("neg_total"))
-        of_neg = 1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2, F.col("pos_total"))
-        # centred at one half, so that the products below stay small
-        rows = rows.join(steps.select(s, of_pos.alias("_p"), of_neg.alias("_n")), s).withColumn(
-            f"_v_{s}", F.when(F.col(label) == 1, F.col("_p")).otherwise(F.col("_n")) - 0.5).drop(
-            "_p", "_n")
-    pairs = [(a, b) for i, a in enumerate(sets) for b in sets[i:]]
-    w = F.col("w")
-    sums = rows.groupBy(label).agg(
+    combos = materialise(complete(wide, [label, *sets]).groupBy(label, *sets).agg(
+        F.count(F.lit(1)).alias("w")), "combinations")
+    long = combos.withColumn("combo", F.monotonically_increasing_id()).select(
+        "combo", F.col(label).alias("_y"), "w",
+        F.posexplode(F.array(*[F.col(s).cast("double") for s in sets])).alias("set", "score"))
+    is_one = F.col("_y") == 1
+    hist = long.groupBy("set", "score").agg(
+        F.sum(F.when(is_one, F.col("w")).otherwise(0)).alias("pos"),
+        F.sum(F.when(is_one, F.lit(0)).otherwise(F.col("w"))).alias("neg"),
+        F.count(F.lit(1)).alias("rows"))
+    steps = prefix_sums(hist, ["set"], "score", ["pos", "neg"], cuts)
+    of_pos = F.try_divide(F.col("neg_before") + F.col("neg") / 2, F.col("neg_total"))
+    of_neg = 1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2, F.col("pos_total"))
+    steps = materialise(steps.select("set", "score", "rows", of_pos.alias("_p"), of_neg.alias("_n")),
+                        "components")
+    found = spread_join(long, steps, ["set", "score"], "rows")
+    # centred at one half, so that the products below stay small
+    value = F.when(is_one, F.col("_p")).otherwise(F.col("_n")) - 0.5
+    rows = found.groupBy("combo", "_y", "w").agg(
+        F.sort_array(F.collect_list(F.struct("set", value.alias("v")))).getField("v").alias("v"))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i, len(sets))]
+    w, v = F.col("w"), F.col("v")
+    sums = rows.groupBy("_y").agg(
         F.sum("w").cast("double").alias("n"),
-        *[(F.sum(w * F.col(f"_v_{s}")) / F.sum("w")).alias(f"m_{s}") for s in sets],
-        *[F.sum(w * F.col(f"_v_{a}") * F.col(f"_v_{b}")).alias(f"s{i}")
-          for i, (a, b) in enumerate(pairs)])
+        *[(F.sum(w * v[i]) / F.sum("w")).alias(f"m{i}") for i in range(len(sets))],
+        *[F.sum(w * v[i] * v[j]).alias(f"s{i}_{j}") for i, j in pairs])
     n = F.col("n")
     entries = F.array(*[F.struct(
-        F.lit(a).alias("set_1"), F.lit(b).alias("set_2"),
-        (F.col(f"m_{a}") + 0.5).alias("auc_1"), (F.col(f"m_{b}") + 0.5).alias("auc_2"),
-        F.try_divide(F.col(f"s{i}") - n * F.col(f"m_{a}") * F.col(f"m_{b}"), (n - 1) * n)
-        .alias("cov"))
-        for i, (a, b) in enumerate(pairs)])
+        F.lit(sets[i]).alias("set_1"), F.lit(sets[j]).alias("set_2"),
+        (F.col(f"m{i}") + 0.5).alias("auc_1"), (F.col(f"m{j}") + 0.5).alias("auc_2"),
+        F.try_divide(F.col(f"s{i}_{j}") - n * F.col(f"m{i}") * F.col(f"m{j}"), (n - 1) * n)
+        .alias("cov")) for i, j in pairs])
     # per class: two rows with every pair, added up over the classes
-    return (sums.select(F.col(label).alias("_y"), F.inline(entries))
+    return (sums.select("_y", F.inline(entries))
             .groupBy("set_1", "set_2").agg(
-                F.max(F.when(F.col("_y") == 1, F.col("auc_1"))).alias("auc_1"),
-                F.max(F.when(F.col("_y") == 1, F.col("auc_2"))).alias("auc_2"),
+                F.max(F.when(is_one, F.col("auc_1"))).alias("auc_1"),
+                F.max(F.when(is_one, F.col("auc_2"))).alias("auc_2"),
                 F.sum("cov").alias("cov")))
 
 
@@ -191,34 +198,28 @@ def weighted_metrics(weighted: DataFrame, keys: list[str], cuts: list[float],
         (2 * tp / F.greatest(2 * tp + fp + fn, F.lit(1e-300))).alias("f1"))
 
 
-def bootstrap_paired(wide: DataFrame, pairs: list[tuple[str, str]], thresholds: Column,
-                     replicates: int = 2000, seed: int = 42,
-                     uniform: Callable[[Column, Column], Column] | None = None,
-                     label: str = "label", id_col: str = "id") -> DataFrame:
-    """Paired bootstrap of the differences in AUC, average precision and F1.
+def bootstrap_paired(wide: DataFrame, pairs: list[tuple[str, str]],
+                     thresholds: Column | dict[str, float], replicates: int = 2000, seed: int = 42,
+                     uniform: Draws | None = None, label: str = "label",
+                     id_col: str = "id") -> DataFrame:
+    """Paired bootstrap of the differences in AUC, average precision and F1, see ``resample``.
 
-    Resampling n rows with replacement is replaced by an independent Poisson(1) weight per row and
-    replicate, derived from a hash of (id, replicate), so that every score set sees the same
-    resample and a lost task recomputes the same weights. Rows carry their weights into a
-    map-side-combined histogram per (replicate, set, distinct score); replicate 0 has weight one
-    everywhere and is the observed value.
+    ``thresholds`` maps set names to thresholds, as a dict or a map column.
     """
-    uniform = uniform or (lambda i, b: strong_uniform(i, b, seed=seed))
     sets = list(dict.fromkeys(s for pair in pairs for s in pair))
     require_scores(wide, sets, label)
-    # every row becomes `replicates` rows, so the rows are spread over all tasks first
-    rows = wide.select(id_col, label, *sets).repartition(
-        default_buckets(wide.sparkSession))
-    drawn = (rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-             # a column of its own, because the count compares it many times
-             .withColumn("_u", uniform(F.col(id_col), F.col("replicate")))
-             .withColumn("weight", F.when(F.col("replicate") == 0, F.lit(1)).otherwise(
-                 poisson_one(F.col("_u")))))
-    long = stacked(drawn.withColumn("label", F.col(label)), sets, ["label", "replicate", "weight"],
-                   "set", "score")
-    per = weighted_metrics(long, ["replicate", "set"], cut_points(wide, sets),
-                           thresholds[F.col("set")])
-    values = per.unpivot(["replicate", "set"], ["auc", "ap", "f1"], "metric", "value")
+    if isinstance(thresholds, Column):  # one entry per set
+        thresholds = wide.sparkSession.range(1).select(thresholds).first()[0]
+    per = replicate_metrics(wide, sets, thresholds, replicates,
+                            uniform or partial(strong_draws, seed=seed), label, id_col)
+    return bootstrap_tests(per, pairs, replicates)
+
+
+def bootstrap_tests(per: DataFrame, pairs: list[tuple[str, str]], replicates: int) -> DataFrame:
+    """Mean, interval and p of the differences of pairs, from metrics per (set, replicate)."""
+    sets = list(dict.fromkeys(s for pair in pairs for s in pair))
+    values = per.where(F.col("set").isin(sets)).unpivot(
+        ["replicate", "set"], ["auc", "ap", "f1"], "metric", "value")
     by_set = values.groupBy("replicate", "metric").pivot("set", sets).agg(F.first("value"))
     differences = by_set.select("replicate", "metric", F.inline(F.array(*[
         F.struct(F.lit(a).alias("set_1"), F.lit(b).alias("set_2"),
@@ -243,19 +244,37 @@ def agreement(delong: DataFrame, bootstrap: DataFrame) -> DataFrame:
             .withColumn("agree", F.col("delong_rejects") == F.col("excludes_0")))
 
 
-def three_tests(delong: DataFrame, mcnemar_rows: DataFrame, bootstrap: DataFrame) -> DataFrame:
-    """One row per pair with the Holm-adjusted verdict of every test."""
+def three_tests(delong: DataFrame, mcnemar_rows: DataFrame, bootstrap: DataFrame,
+                families: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """One row per family and pair with the Holm-adjusted p and verdict of every test.
+
+    p is adjusted inside each family, separately for every test and metric; without families all
+    pairs form one.
+    """
     key = ["set_1", "set_2"]
-    dl = with_verdict(holm(delong.withColumn("_f", F.lit(1)), ["_f"], "p", tie=key))
-    mc = with_verdict(holm(mcnemar_rows.withColumn("_f", F.lit(1)), ["_f"], "p", tie=key),
-                      delta=None)
-    bs = with_verdict(holm(bootstrap, ["metric"], "p", tie=key), delta="mean")
-    wide = bs.groupBy(*key).pivot("metric", ["auc", "ap", "f1"]).agg(F.first("verdict"))
-    return (dl.select(*key, "delta", F.col("verdict").alias("delong"))
-            .join(mc.select(*key, F.col("verdict").alias("mcnemar")), key)
-            .join(wide.select(*key, F.col("auc").alias("bootstrap_auc"),
-                              F.col("ap").alias("bootstrap_ap"),
-                              F.col("f1").alias("bootstrap_f1")), key))
+    if families is None:
+        listed = delong.select(F.lit("all pairs").alias("family"), *key)
+    else:
+        listed = delong.sparkSession.createDataFrame(
+            [(f, a, b) for f, pairs in families.items() for a, b in pairs],
+            "family string, set_1 string, set_2 string")
+
+    def judged(rows: DataFrame, by: list[str], delta: str | None) -> DataFrame:
+        tests = listed.join(rows, key)
+        return with_verdict(holm(tests, ["family", *by], "p", tie=key), delta=delta)
+
+    dl = judged(delong, [], "delta")
+    mc = judged(mcnemar_rows, [], None)
+    bs = judged(bootstrap, ["metric"], "mean").groupBy("family", *key).pivot(
+        "metric", ["auc", "ap", "f1"]).agg(F.first("p_holm").alias("p"),
+                                           F.first("verdict").alias("verdict"))
+    on = ["family", *key]
+    return (dl.select(*on, "delta", F.col("p_holm").alias("p_delong"),
+                      F.col("verdict").alias("delong"))
+            .join(mc.select(*on, F.col("p_holm").alias("p_mcnemar"),
+                            F.col("verdict").alias("mcnemar")), on)
+            .join(bs.select(*on, *[F.col(f"{m}_{v}").alias(f"{w}_{m}") for m in ("auc", "ap", "f1")
+                                   for v, w in (("p", "p_bootstrap"), ("verdict", "bootstrap"))]), on))
 
 
 def all_pairs(sets: list[str]) -> list[tuple[str, str]]:

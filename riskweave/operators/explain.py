@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.hashing import strong_uniform
-from riskweave.operators.ranks import default_buckets, exact_quantiles, rank_table, unpivot
+from riskweave.operators.ranks import (default_buckets, exact_quantiles, rank_table, spread_join,
+                                       unpivot)
 from riskweave.operators.train import score_column
+from riskweave.session import materialise
 
 
 def hard_cases(wide: DataFrame, first: str, second: str, thresholds: Column) -> DataFrame:
@@ -17,13 +19,13 @@ def hard_cases(wide: DataFrame, first: str, second: str, thresholds: Column) ->
 
     Ranks are computed over all rows; only the wrong rows look theirs up.
     """
-    ranks = [rank_table(wide.select(s), s, out=f"_r{i}", percent=True)
-             for i, s in enumerate((first, second))]
+    ranks = [materialise(rank_table(wide.select(s), s, out=f"_r{i}", percent=True, count="_rows"),
+                         "ranks") for i, s in enumerate((first, second))]
     p1, p2 = (F.col(s) >= thresholds[s] for s in (first, second))
     wrong = wide.select("id", "label", first, second, p1.alias("p1"), p2.alias("p2")).filter(
         (F.col("p1") == F.col("p2")) & (F.col("p1").cast("int") != F.col("label")))
     for s, r in zip((first, second), ranks):
-        wrong = wrong.join(r, s)
+        wrong = spread_join(wrong, r, [s], "_rows").drop("_rows")
     kind = F.when(F.col("label") == 1, "false negative").otherwise("false positive")
     return wrong.select("id", kind.alias("kind"), first, second,
                         ((F.col("_r0") + F.col("_r1")) / 2).alias("mean_rank"))

@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweave.session import materialise
+
 MAX_BUCKETS = 20_000
 
 
@@ -119,25 +121,44 @@ def prefix_sums(hist: DataFrame, keys: list[str], value: str, measures: list[str
                   *[f"_o_{m}" for m in measures]))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
+                how: str = "inner") -> DataFrame:
+    """Join rows to a table that is unique on the keys and says how many rows have them (`count`).
+
+    Keys with more rows than an equal share of the tasks are dealt to several tasks by the rows'
+    place, and their one row of the table is copied to each; there are fewer such keys than shares,
+    so their list can be broadcast. Nothing is left to adaptive execution. The table is read three
+    times, so it should be a written one.
+    """
+    total = table.agg(F.sum(count)).scalar()
+    share = F.greatest(F.lit(1), F.ceil(total / default_buckets(rows.sparkSession)))
+    parts = F.ceil(F.col(count) / share).cast("int")
+    heavy = F.broadcast(table.where(F.col(count) > share).select(*keys, parts.alias("_parts")))
+    placed = rows.withColumn("_place", F.monotonically_increasing_id()).join(heavy, keys, "left")
+    dealt = placed.withColumn("_part", F.pmod(
+        "_place", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_place", "_parts")
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def rank_table(df: DataFrame, value: str, keys: list[str] = (), out: str = "avg_rank",
-               percent: bool = False) -> DataFrame:
-    """Rank 1..n with ties averaged (optionally divided by n) of every distinct value."""
+               percent: bool = False, count: str | None = None) -> DataFrame:
+    """Rank 1..n with ties averaged (optionally divided by n) of every distinct value; with
+    ``count`` also the number of rows that have it."""
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
     ranked = prefix_sums(value_histogram(present, keys, value), keys, value, ["n"],
                          cut_points(df, [value]))
     rank = F.col("n_before") + (F.col("n") + 1) / 2
-    return ranked.select(*keys, value, (rank / F.col("n_total") if percent else rank).alias(out))
+    return ranked.select(*keys, value, (rank / F.col("n_total") if percent else rank).alias(out),
+                         *([F.col("n").alias(count)] if count else []))
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str] = (), out: str = "avg_rank",
                  percent: bool = False) -> DataFrame:
-    """``rank_table`` joined back to the rows.
-
-    The table has one row per distinct value, so the join key is unique on that side and a
-    frequent value is split by adaptive skew handling.
-    """
-    return df.join(rank_table(df, value, keys, out, percent), [*keys, value], "left")
+    """``rank_table`` joined back to the rows; a value with many rows is split over tasks."""
+    table = materialise(rank_table(df, value, keys, out, percent, count="_rows"), "ranks")
+    return spread_join(df, table, [*keys, value], "_rows", "left").drop("_rows")
 
 
 def _targets(probs: list[float], total: Column, method: str) -> Column:

@@ -129,6 +129,13 @@ def chi2_p_sql(x: str, df: str) -> str:
         f"- {df} / 2e0 * ln(2) - lgamma({df} / 2e0))", f"sqrt({x})", f"(sqrt({df}) + 12)")
 
 
+def binomial_p_sql(k: str, n: str) -> str:
+    """Two-sided p of k successes in n fair trials."""
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - ({n}) * ln(2))"
+    return (f"least(1e0, 2 * list_sum(list_transform(range(0, least({k}, {n} - ({k})) + 1), "
+            f"lambda i : {term})))")
+
+
 def t_p_sql(t: str, df: str) -> str:
     return "2 * " + _simpson(
         f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) "

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.functions.hashing import portable_uniform
+from riskweave.functions.hashing import portable_draws
 from riskweave.operators import compare, evaluate, explain, profile, ranks
 from riskweave.plans.base import prepared
-from riskweave.plans.registry import (chi2_p_sql, normal_p_sql, portable_sql, query, rounded, tidy)
-from riskweave.plans.scores import (SCORES_SQL, SETS, STEPS_SQL, YOUDEN_SQL, long_scores,
-                                    threshold_map, thresholds, wide_scores)
+from riskweave.plans.registry import (binomial_p_sql, chi2_p_sql, normal_p_sql, portable_sql, query,
+                                      rounded, tidy)
+from riskweave.plans.scores import (ALL_SETS, ALL_YOUDEN_SQL, SCORES_SQL, SETS, STEPS_SQL, YOUDEN_SQL,
+                                    long_scores, threshold_map, thresholds, wide_scores)
 
 _AUC = "sum(pos * (neg_before + neg / 2e0) / p / n)"
 _AP = "sum(pos / p::DOUBLE * prec)"
@@ -135,7 +136,7 @@ def scores_long_to_wide(spark, sf):
 
 
 _PAIRS = compare.all_pairs(SETS)
-_COV_SQL = STEPS_SQL + ", comp AS (SELECT id, label, pipeline || '_' || model AS s, " \
+_COV = ", comp AS (SELECT id, label, pipeline || '_' || model AS s, " \
     "CASE WHEN label = 1 THEN (neg_before + neg / 2e0) / n ELSE 1 - (pos_before + pos / 2e0) / p END AS v " \
     "FROM long JOIN steps USING (pipeline, model, score))" + """,
 pairs AS (SELECT x.s AS set_1, y.s AS set_2, x.label AS label, covar_samp(x.v, y.v) / count(*) AS c,
@@ -143,6 +144,7 @@ pairs AS (SELECT x.s AS set_1, y.s AS set_2, x.label AS label, covar_samp(x.v, y
 cov AS (SELECT set_1, set_2, sum(c) AS cov, max(m1) FILTER (label = 1) AS auc_1,
   max(m2) FILTER (label = 1) AS auc_2 FROM pairs GROUP BY 1, 2)
 """
+_COV_SQL = STEPS_SQL + _COV
 _Z = "1.959963984540054e0"
 
 
@@ -164,7 +166,7 @@ def delong_ci(spark, sf):
     return tidy(compare.delong_ci(compare.auc_covariance(wide_scores(spark, sf), SETS)))
 
 
-_DELONG_SQL = _COV_SQL + f""", d AS (SELECT c.set_1, c.set_2, c.auc_1, c.auc_2, c.auc_1 - c.auc_2 AS delta,
+_DELONG = f""", d AS (SELECT c.set_1, c.set_2, c.auc_1, c.auc_2, c.auc_1 - c.auc_2 AS delta,
   a.cov AS v1, b.cov AS v2, c.cov AS cv, sqrt(greatest(a.cov + b.cov - 2 * c.cov, 1e-300)) AS se
   FROM cov c JOIN cov a ON a.set_1 = c.set_1 AND a.set_2 = c.set_1
   JOIN cov b ON b.set_1 = c.set_2 AND b.set_2 = c.set_2 WHERE c.set_1 <> c.set_2),
@@ -172,10 +174,11 @@ delong AS (SELECT *, delta / se AS z, {normal_p_sql('(delta / se)')} AS p,
   delta - {_Z} * se AS delta_low, delta + {_Z} * se AS delta_high,
   cv / sqrt(v1 * v2) AS correlation FROM d)
 """
+_DELONG_SQL = _COV_SQL + _DELONG
 
 
-def _delong(spark, sf):
-    return compare.delong_pairs(compare.auc_covariance(wide_scores(spark, sf), SETS))
+def _delong(spark, sf, sets=SETS):
+    return compare.delong_pairs(compare.auc_covariance(wide_scores(spark, sf, sets), sets))
 
 
 @query("delong_pairs", _DELONG_SQL + f"""
@@ -216,51 +219,69 @@ def holm_families(spark, sf):
                             "relevant", "size", "verdict"))
 
 
-_CORRECT_SQL = YOUDEN_SQL + """, ok AS (SELECT id, pipeline || '_' || model AS s,
+_CORRECT = """, ok AS (SELECT id, pipeline || '_' || model AS s,
   ((score >= threshold)::INTEGER = label) AS good FROM long JOIN youden USING (pipeline, model)),
 mc AS (SELECT x.s AS set_1, y.s AS set_2, count(*) FILTER (x.good AND y.good) AS a,
   count(*) FILTER (x.good AND NOT y.good) AS b, count(*) FILTER (NOT x.good AND y.good) AS c,
   count(*) FILTER (NOT x.good AND NOT y.good) AS d
   FROM ok x JOIN ok y USING (id) WHERE x.s < y.s GROUP BY 1, 2)
 """
+_MCNEMAR = f""", mct AS (SELECT *, b + c < 25 AS exact,
+  CASE WHEN b + c >= 25 THEN (abs(b - c) - 1) ** 2 / (b + c)::DOUBLE END AS chi2 FROM mc),
+mcnemar AS (SELECT *, CASE WHEN exact THEN {binomial_p_sql('b', 'b + c')}
+                      ELSE {chi2_p_sql('chi2', '1e0')} END AS p FROM mct)
+"""
 
 
 def _mcnemar(spark, sf):
     return compare.mcnemar(wide_scores(spark, sf), _PAIRS, threshold_map(spark, sf))
 
 
-@query("mcnemar", _CORRECT_SQL + f""", t AS (SELECT *, b + c < 25 AS exact,
-  CASE WHEN b + c >= 25 THEN (abs(b - c) - 1) ** 2 / (b + c)::DOUBLE END AS chi2 FROM mc)
-SELECT set_1, set_2, a, b, c, d, exact, {rounded('chi2',
-  f"CASE WHEN exact THEN NULL ELSE {chi2_p_sql('chi2', '1e0')} END AS p",
+@query("mcnemar", YOUDEN_SQL + _CORRECT + _MCNEMAR + f"""
+SELECT set_1, set_2, a, b, c, d, exact, {rounded('chi2', 'p',
   '(c + d) / (a + b + c + d)::DOUBLE AS error_1', '(b + d) / (a + b + c + d)::DOUBLE AS error_2')}
-FROM t""")
+FROM mcnemar""")
 def mcnemar(spark, sf):
     return tidy(_mcnemar(spark, sf))
 
 
-_BOOT_PAIRS = [("a_m1", "b_m1"), ("a_m1", "a_m2")]
-_BOOT_SETS = ["a_m1", "b_m1", "a_m2"]
-_REPLICATES = 40
-
-
-def _poisson_sql(u: str) -> str:
-    import math
-
-    parts, total, mass = [], 0.0, math.exp(-1.0)
-    for k in range(18):
-        total += mass
-        mass /= k + 1
-        parts.append(f"({u} >= {total!r}::DOUBLE)::INTEGER")
-    return " + ".join(parts)
+_REPLICATES = 2000
+# The families of pairs: every model between the pipelines, and the best two of each pipeline.
+_FAMILIES = f""", aucs AS (
+SELECT pipeline, pipeline || '_' || model AS s, {_AUC} AS auc FROM steps GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY auc DESC, s) AS k FROM aucs),
+families AS (
+SELECT 'between pipelines' AS family, 'a' || substr(s, 2) AS set_1, s AS set_2 FROM aucs
+WHERE pipeline = 'b' UNION ALL
+SELECT 'best models', min(s), max(s) FROM placed WHERE k <= 2 GROUP BY pipeline)
+"""
 
 
-_BOOT_SQL = YOUDEN_SQL + f""", draws AS (SELECT id, r, CASE WHEN r = 0 THEN 1 ELSE
-  {_poisson_sql('u')} END AS w FROM (SELECT id, r, {portable_sql('id', 'r')}::DOUBLE / 2147483647e0 AS u
-  FROM wide, range(0, {_REPLICATES + 1}) t(r))),
-wl AS (SELECT r, pipeline || '_' || model AS s, score, sum(w * label)::DOUBLE AS pos,
-  sum(w * (1 - label))::DOUBLE AS neg FROM draws JOIN long USING (id)
-  WHERE pipeline || '_' || model IN ('a_m1', 'b_m1', 'a_m2') AND w > 0 GROUP BY 1, 2, 3),
+def _families(spark, sf) -> dict[str, list[tuple[str, str]]]:
+    aucs = evaluate.auc(long_scores(spark, sf, ALL_SETS))
+    best = ranks.top_k(aucs, ["pipeline"], [F.desc("auc"), F.asc("model")], 2)
+    found: dict[str, list[str]] = {}
+    for r in best.orderBy("pipeline", "model").collect():  # two rows for each pipeline
+        found.setdefault(r["pipeline"], []).append(f"{r['pipeline']}_{r['model']}")
+    between = [(f"a_m{k}", f"b_m{k}") for k in range(1, 7)]
+    return {"between pipelines": between, "best models": [tuple(v) for v in found.values()]}
+
+
+# A cell of n rows with the same label and scores draws Poisson(n) once, by its smallest id; the
+# distribution function of Poisson(n) is listed for each n that occurs.
+_BOOT = f""", cells AS (SELECT label, {', '.join(ALL_SETS)}, min(id) AS cell, count(*) AS n
+  FROM wide GROUP BY ALL),
+mass AS (SELECT n, k, exp(k * ln(n) - n - lgamma(k + 1)) AS m
+  FROM (SELECT DISTINCT n FROM cells), LATERAL (SELECT unnest(range(0, 40 + 4 * n)) AS k)),
+cdf AS (SELECT n, list(c ORDER BY k) AS cdf FROM (
+  SELECT n, k, sum(m) OVER (PARTITION BY n ORDER BY k) AS c FROM mass) GROUP BY n),
+draws AS (SELECT cells.*, r, CASE WHEN r = 0 THEN n
+  ELSE len(list_filter(cdf, lambda c : c <= {portable_sql('cell', 'r')}::DOUBLE / 2147483647e0))
+  END AS w FROM cells JOIN cdf USING (n), range(0, {_REPLICATES + 1}) t(r)),
+kept AS (SELECT * FROM draws WHERE w > 0),
+wl AS ({" UNION ALL ".join(
+    f"SELECT r, '{s}' AS s, {s} AS score, sum(w * label)::DOUBLE AS pos, "
+    f"sum(w * (1 - label))::DOUBLE AS neg FROM kept GROUP BY ALL" for s in ALL_SETS)}),
 ws AS (SELECT *, sum(pos) OVER (PARTITION BY r, s) AS p, sum(neg) OVER (PARTITION BY r, s) AS n,
   coalesce(sum(neg) OVER (PARTITION BY r, s ORDER BY score
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
@@ -272,26 +293,30 @@ m AS (SELECT r, s, sum(pos * (nb + neg / 2)) / (any_value(p) * any_value(n)) AS
    + coalesce(sum(neg) FILTER (score >= threshold), 0) + coalesce(sum(pos) FILTER (score < threshold), 0)) AS f1
   FROM ws JOIN youden ON s = pipeline || '_' || model GROUP BY 1, 2),
 v AS (UNPIVOT m ON auc, ap, f1 INTO NAME metric VALUE value),
-diff AS (SELECT x.s AS set_1, y.s AS set_2, metric, r, x.value - y.value AS d FROM v x JOIN v y USING (r, metric)
-  WHERE (x.s, y.s) IN (('a_m1', 'b_m1'), ('a_m1', 'a_m2'))),
+diff AS (SELECT set_1, set_2, x.metric, x.r, x.value - y.value AS d
+  FROM (SELECT DISTINCT set_1, set_2 FROM families) JOIN v x ON x.s = set_1
+  JOIN v y ON y.s = set_2 AND y.r = x.r AND y.metric = x.metric),
 boot AS (SELECT set_1, set_2, metric, max(d) FILTER (r = 0) AS observed, avg(d) FILTER (r > 0) AS mean,
   quantile_cont(d, 0.025) FILTER (r > 0) AS low, quantile_cont(d, 0.975) FILTER (r > 0) AS high,
   greatest(1e0 / {_REPLICATES}, least(1e0, 2 * least(avg((d <= 0)::INTEGER) FILTER (r > 0),
     avg((d >= 0)::INTEGER) FILTER (r > 0)))) AS p FROM diff GROUP BY 1, 2, 3)
 """
+_BOOT_SQL = ALL_YOUDEN_SQL + _FAMILIES + _BOOT
 
 
-def _bootstrap(spark, sf):
+def _bootstrap(spark, sf, families):
+    """All replicates of every pair of the families."""
+    pairs = list(dict.fromkeys(p for listed in families.values() for p in listed))
     return compare.bootstrap_paired(
-        wide_scores(spark, sf), _BOOT_PAIRS, threshold_map(spark, sf), _REPLICATES,
-        uniform=portable_uniform)
+        wide_scores(spark, sf, ALL_SETS), pairs, threshold_map(spark, sf, ALL_SETS), _REPLICATES,
+        uniform=portable_draws)
 
 
 @query("bootstrap_paired", _BOOT_SQL + f"""
 SELECT set_1, set_2, metric, {rounded('observed', 'mean', 'low', 'high', 'p')},
        low > 0 OR high < 0 AS excludes_0 FROM boot""")
 def bootstrap_paired(spark, sf):
-    return tidy(_bootstrap(spark, sf))
+    return tidy(_bootstrap(spark, sf, _families(spark, sf)))
 
 
 @query("weighted_metrics", SCORES_SQL + f""", w AS (
@@ -313,25 +338,47 @@ def weighted_metrics(spark, sf):
                                          F.lit(0.5)))
 
 
-@query("test_agreement", _BOOT_SQL.replace(YOUDEN_SQL, _DELONG_SQL + YOUDEN_SQL[len(STEPS_SQL):]) + f"""
-SELECT delong.set_1, delong.set_2, {rounded('delta')}, delong.p < 0.05 AS delong_rejects,
+@query("test_agreement", _BOOT_SQL + _COV + _DELONG + f"""
+SELECT set_1, set_2, {rounded('delta')}, delong.p < 0.05 AS delong_rejects,
   low > 0 OR high < 0 AS excludes_0, (delong.p < 0.05) = (low > 0 OR high < 0) AS agree
-FROM delong JOIN boot ON delong.set_1 = boot.set_1 AND delong.set_2 = boot.set_2 AND metric = 'auc'
-UNION ALL
-SELECT delong.set_2, delong.set_1, {rounded('-delta AS delta')}, delong.p < 0.05,
-  low > 0 OR high < 0, (delong.p < 0.05) = (low > 0 OR high < 0)
-FROM delong JOIN boot ON delong.set_2 = boot.set_1 AND delong.set_1 = boot.set_2 AND metric = 'auc'""")
+FROM delong JOIN boot USING (set_1, set_2) WHERE metric = 'auc'""")
 def test_agreement(spark, sf):
-    return tidy(compare.agreement(_delong(spark, sf), _bootstrap(spark, sf)))
+    return tidy(compare.agreement(_delong(spark, sf, ALL_SETS),
+                                  _bootstrap(spark, sf, _families(spark, sf))))
+
+
+def _judged(source: str, by: str, name: str, delta: str | None) -> str:
+    """Holm inside the family (and metric), with the verdict."""
+    relevant = f"abs({delta}) >= 0.005" if delta else "false"
+    hit = "'yes (relevant)'" if delta else "'yes'"
+    plain = "'yes (not relevant)'" if delta else "'yes'"
+    return f""", f_{name} AS (SELECT * FROM families JOIN {source} USING (set_1, set_2)),
+h_{name} AS (SELECT *, CASE WHEN p_holm >= 0.05 THEN 'no' WHEN {relevant} THEN {hit} ELSE {plain} END
+  AS verdict FROM ({_holm_sql(f'f_{name}', by)}))"""
+
+
+_SUMMARY_SQL = (
+    _BOOT_SQL + _COV + _DELONG + _CORRECT + _MCNEMAR
+    + _judged("delong", "family", "dl", "delta") + _judged("mcnemar", "family", "mc", None)
+    + _judged("boot", "family, metric", "bs", "mean"))
 
 
-@query("three_tests_summary")
+@query("three_tests_summary", _SUMMARY_SQL + f"""
+SELECT family, set_1, set_2, {rounded('d.delta AS delta', 'd.p_holm AS p_delong')}, d.verdict AS delong,
+  {rounded('m.p_holm AS p_mcnemar')}, m.verdict AS mcnemar, {", ".join(
+      f"round(max(b.p_holm) FILTER (metric = '{k}'), 6) + 0.0 AS p_bootstrap_{k}, "
+      f"max(b.verdict) FILTER (metric = '{k}') AS bootstrap_{k}" for k in ('auc', 'ap', 'f1'))}
+FROM h_dl d JOIN h_mc m USING (family, set_1, set_2) JOIN h_bs b USING (family, set_1, set_2)
+GROUP BY ALL""")
 def three_tests_summary(spark, sf):
-    pairs = F.struct("set_1", "set_2")
-    wanted = [F.struct(F.lit(a).alias("set_1"), F.lit(b).alias("set_2")) for a, b in _BOOT_PAIRS]
-    keep = F.array_contains(F.array(*wanted), pairs)
-    return tidy(compare.three_tests(_delong(spark, sf).filter(keep),
-                                    _mcnemar(spark, sf).filter(keep), _bootstrap(spark, sf)))
+    """Every pair of both families under DeLong, McNemar and the bootstrap, Holm inside a family."""
+    families = _families(spark, sf)
+    pairs = list(dict.fromkeys(p for listed in families.values() for p in listed))
+    wide = wide_scores(spark, sf, ALL_SETS)
+    return tidy(compare.three_tests(
+        _delong(spark, sf, ALL_SETS),
+        compare.mcnemar(wide, pairs, threshold_map(spark, sf, ALL_SETS)),
+        _bootstrap(spark, sf, families), families))
 
 
 _HARD_SQL = YOUDEN_SQL + """, t AS (
