@@ -1,7 +1,8 @@
 """Tail probabilities of the reference distributions, for summary tables.
 
 Spark has no error, incomplete gamma or incomplete beta function. These Arrow-batched helpers are
-only applied to result tables with one row per variable or per model pair, never to data rows.
+applied to result tables with one row per variable or per model pair, and ``normal_cdf`` to the
+distinct values of a histogram; never to data rows.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,3 +90,23 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
 def binomial_half_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
     """Exact two-sided p of k successes out of n fair trials."""
     return _both(_binomial_p, k, n)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    """P(Z <= z) for a standard normal."""
+    return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore").astype("float64")
+
+
+def kolmogorov_sf(d: Column, n: Column, terms: int = 100) -> Column:
+    """P(D > d) for the distance D between a continuous law and the n draws' own step function.
+
+    The limiting law at a point moved by its corrections of order 1 / sqrt(n) and 1 / n.
+    """
+    root = F.sqrt(n)
+    t = root * d + 1 / (6 * root) + (root * d - 1) / (4 * n)
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
+        lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * t * t))
+    # below this point the law is 1e-19 and the series alternates without converging
+    return F.when(t < 0.16, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))

@@ -161,11 +161,13 @@ def metrics_at(scores: DataFrame, thresholds: DataFrame, keys: list[str] = KEYS)
         *[c.alias(k) for k, c in confusion(pred, F.col("label")).items()]))
 
 
-def default_rule(thresholds: DataFrame, keys: list[str] = KEYS, value: float = 0.5) -> DataFrame:
-    """The fitted thresholds plus the fixed default one, per score set."""
+def default_rule(thresholds: DataFrame, keys: list[str] = KEYS,
+                 value: float | Column = 0.5) -> DataFrame:
+    """The fitted thresholds plus the default one per score set; `value` can be an expression over
+    the keys, because margins have their default at 0."""
     fitted = thresholds.select(*keys, F.lit("youden").alias("rule"), "threshold")
-    fixed = thresholds.select(*keys, F.lit("default").alias("rule"),
-                              F.lit(value).alias("threshold"))
+    value = value if isinstance(value, Column) else F.lit(value)
+    fixed = thresholds.select(*keys, F.lit("default").alias("rule"), value.alias("threshold"))
     return fitted.unionByName(fixed)
 
 
@@ -176,13 +178,17 @@ def share_flagged(scores: DataFrame, thresholds: DataFrame, keys: list[str] = KE
         F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("share_flagged"))
 
 
-def metric_table(scores: DataFrame, thresholds: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """AUC, average precision and threshold metrics of every score set side by side."""
+def metric_table(scores: DataFrame, thresholds: DataFrame, keys: list[str] = KEYS,
+                 default: float | Column | None = None) -> DataFrame:
+    """AUC, average precision and threshold metrics of every score set side by side, with
+    ``default`` also the metrics at the default threshold."""
     steps = _rates(score_steps(scores, keys))
     ranking = steps.groupBy(*keys).agg(
         auc_of_steps().alias("auc"), average_precision_of_steps().alias("average_precision"))
-    rule = thresholds.select(*keys, F.lit("youden").alias("rule"), "threshold")
-    return metrics_at(scores, rule, keys).join(ranking, keys)
+    rules = thresholds.select(*keys, F.lit("youden").alias("rule"), "threshold")
+    if default is not None:
+        rules = default_rule(thresholds, keys, default)
+    return metrics_at(scores, rules, keys).join(ranking, keys)
 
 
 def metrics_two_routes(scores: DataFrame, thresholds: DataFrame,

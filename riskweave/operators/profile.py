@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.clean import band, percent
-from riskweave.operators.ranks import exact_quantiles, stacked, top_k, unpivot
+from riskweave.functions.tails import kolmogorov_sf, normal_cdf
+from riskweave.operators.ranks import (cut_points, exact_quantiles, prefix_sums, stacked, top_k,
+                                       unpivot)
+from riskweave.operators.split import smallest_hashes
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -108,15 +108,25 @@ def normality_screen(df: DataFrame, columns: list[str], money: list[str] = ()) -
 
 
 def ks_normality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Kolmogorov-Smirnov distance of every column to the normal with its own mean and spread."""
-    rows = per_column(df, columns, mean=F.avg, sd=F.stddev_samp).collect()  # one row per column
-    results = [
-        KolmogorovSmirnovTest.test(
-            df.select(F.col(r["variable"]).cast("double").alias("value")).dropna(), "value", "norm",
-            r["mean"], r["sd"]).select(F.lit(r["variable"]).alias("variable"),
-                                       F.col("statistic"), F.col("pValue").alias("p"))
-        for r in rows if r["sd"]]
-    return reduce(DataFrame.unionByName, results)
+    """Kolmogorov-Smirnov distance of every column to the normal with its own mean and spread.
+
+    All columns share one histogram of distinct values with running sums. The step function is
+    compared with the normal on both sides of each value, so ties need no care. Columns without
+    spread are left out.
+    """
+    moments = per_column(df, columns, mean=F.avg, sd=F.stddev_samp).where("sd > 0")
+    hist = unpivot(df, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    steps = prefix_sums(hist, ["variable"], "value", ["n"], cut_points(df, columns))
+    # one row per column
+    placed = steps.join(F.broadcast(moments), "variable").withColumn(
+        "_cdf", normal_cdf((F.col("value") - F.col("mean")) / F.col("sd")))
+    total = F.col("n_total")
+    gap = F.greatest(F.abs(F.col("n_before") / total - F.col("_cdf")),
+                     F.abs((F.col("n_before") + F.col("n")) / total - F.col("_cdf")))
+    rows = placed.groupBy("variable").agg(F.max(gap).alias("statistic"),
+                                          F.max("n_total").cast("double").alias("_n"))
+    return rows.select("variable", "statistic", kolmogorov_sf(F.col("statistic"), F.col("_n"))
+                       .alias("p"))
 
 
 def frequency_table(df: DataFrame, columns: list[str], rare_pct: float = 1.0) -> DataFrame:
@@ -243,10 +253,10 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     """Quartiles, whiskers (most extreme values inside the fences) and outlier count."""
     by = list(by)
     keys = [*by, "variable"]
-    fences = _fences(exact_quantiles(df, columns, QUARTILES, by=by))
+    fences = _fences(exact_quantiles(df, columns, QUARTILES, by=by, small_groups=not by))
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    # rows of the fence table: listed columns x classes of a label
-    return (unpivot(df, columns, by).join(F.broadcast(fences), keys)
+    # without groups a row for each listed column; with them as many as there are groups
+    return (unpivot(df, columns, by).join(fences if by else F.broadcast(fences), keys)
             .groupBy(*keys).agg(
                 F.count(F.lit(1)).alias("n"),
                 *[F.first(c).alias(c) for c in ("p25", "p50", "p75")],
@@ -295,7 +305,7 @@ def nullity_sample(df: DataFrame, id_col: str, order: str, columns: list[str], s
     """
     some = df.agg(*[F.count(c).alias(c) for c in columns], F.count(F.lit(1)).alias("_n")).first()
     partly = [c for c in columns if 0 < some[c] < some["_n"]]
-    picked = df.orderBy(sample, F.col(id_col)).limit(n)
+    picked = smallest_hashes(df, n, id_col, sample)
     return picked.select(id_col, order, *[F.col(c).isNull().cast("int").alias(c) for c in partly]
                          ).orderBy(order, id_col)
 

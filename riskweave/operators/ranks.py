@@ -241,6 +241,12 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, out: str
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+def best_excluding(df: DataFrame, group: list[str], order: list[Column], name: str,
+                   excluded: str) -> DataFrame:
+    """The first row per group among those with another name than `excluded`."""
+    return top_k(df.where(F.col(name) != excluded), group, order, 1).drop("rank")
+
+
 def head_and_tail(df: DataFrame, group: list[str], order: list[Column], reverse: list[Column],
                   k: int) -> DataFrame:
     """First k and last k rows per group of a sorted table; short groups list a row on both sides."""

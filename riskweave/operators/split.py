@@ -70,10 +70,35 @@ def stratified_folds(df: DataFrame, folds: int = 3, id_col: str = "id", target:
     return _passed(df, id_col, target, [i / folds for i in range(1, folds)], order, space, out)
 
 
+def smallest_hashes(df: DataFrame, n: int, id_col: str, order: Column) -> DataFrame:
+    """The n rows with the smallest (hash, id), found by a cut instead of a sort of the rows.
+
+    Rows are counted per leading digits of the hash; the digits below the one that holds the n-th row
+    are taken whole, and only that one is ranked. Works for any numeric hash: slices are cut evenly
+    between its smallest and largest value.
+    """
+    slices = 64 * default_buckets(df.sparkSession)
+    keyed = df.withColumn("_h", order)
+    ends = keyed.agg(F.min("_h").cast("double").alias("low"), F.max("_h").cast("double").alias("high"))
+    low, high = (ends.select(c).scalar() for c in ("low", "high"))
+    share = (F.col("_h").cast("double") - low) / F.greatest(high - low, F.lit(1e-300))
+    keyed = keyed.withColumn("_slice", F.least(F.floor(share * slices), F.lit(slices - 1)).cast("int"))
+    counts = keyed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row for each slice
+    placed = counts.withColumn("_end", F.sum("_n").over(upto)).where(
+        F.col("_end") - F.col("_n") < n).agg(F.max("_slice").alias("last"), F.max(F.struct(
+            "_slice", (F.col("_end") - F.col("_n")).alias("before"))).alias("top"))
+    last, before = placed.select("last").scalar(), placed.select("top.before").scalar()
+    edge = keyed.where(F.col("_slice") == last)
+    rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_h", id_col))
+    picked = edge.withColumn("_r", rank).where(F.col("_r") <= n - before).drop("_r")
+    return keyed.where(F.col("_slice") < last).unionByName(picked).drop("_h", "_slice")
+
+
 def hash_sample(df: DataFrame, n: int, id_col: str = "id", order: Column | None = None) -> DataFrame:
     """Simple random sample of n rows: the n smallest hashes, independent of the partitioning."""
-    order = strong_hash(F.col(id_col)) if order is None else order
-    return df.orderBy(order, F.col(id_col)).limit(n)
+    return smallest_hashes(df, n, id_col, strong_hash(F.col(id_col)) if order is None else order)
 
 
 def fraction_sample(df: DataFrame, fraction: float, id_col: str = "id",

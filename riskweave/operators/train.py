@@ -1,20 +1,36 @@
-"""Classifiers, grid search with stratified folds, and fit records."""
+"""Classifiers, grid search with stratified folds, and fit records.
+
+The ensembles are searched in stages: a boosted model of 50 trees is the first half of one of 100, and
+the first 10 trees of a forest are a forest of 10 (one with other draws than a separate fit of 10
+would make). So only the largest number of trees is fitted for each other grid point and fold, and one
+scoring pass adds the trees up and keeps the running score at every wanted number of trees.
+"""
 
 from __future__ import annotations
 
+import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.operators.evaluate import auc
+from riskweave.session import materialise
+from riskweave.sources import results
+
 # The regularisation grid shared by the linear models.
 REG_PARAMS = [1e-6, 1e-5, 1e-4]
 SEED = 42
@@ -22,11 +38,13 @@ SEED = 42
 
 @dataclass
 class Candidate:
-    """An estimator, its grid and the column its score comes from."""
+    """An estimator, its grid, the column its score comes from, and the parameter whose smaller
+    values are prefixes of a fit with the largest one."""
 
     estimator: Estimator
     grid: dict[str, list] = field(default_factory=dict)
     score: str = "probability"
+    staged: str | None = None
 
     def param_maps(self) -> list[dict]:
         builder = ParamGridBuilder()
@@ -54,14 +72,14 @@ def candidates(n_features: int, seed: int = SEED) -> dict[str, Candidate]:
         "RandomForest": Candidate(
             RandomForestClassifier(featureSubsetStrategy=subset, maxBins=32, seed=seed,
                                    cacheNodeIds=True),
-            {"numTrees": [10, 50, 100], **trees}),
+            {"numTrees": [10, 50, 100], **trees}, staged="numTrees"),
         "ProbabilityForest": Candidate(
             RandomForestRegressor(featureSubsetStrategy=subset, maxBins=32, seed=seed,
                                   cacheNodeIds=True),
-            {"numTrees": [10, 50, 100], **trees}, "prediction"),
+            {"numTrees": [10, 50, 100], **trees}, "prediction", "numTrees"),
         "GradientBoosting": Candidate(
             GBTClassifier(stepSize=0.1, maxBins=32, seed=seed, cacheNodeIds=True),
-            {"maxIter": [50, 100], "maxDepth": [3, 5]}),
+            {"maxIter": [50, 100], "maxDepth": [3, 5]}, staged="maxIter"),
         "LinearSVC": Candidate(LinearSVC(standardization=False, maxIter=100),
                                {"regParam": REG_PARAMS}, "rawPrediction"),
         "NaiveBayes": Candidate(NaiveBayes(modelType="gaussian"), {}),
@@ -83,43 +101,166 @@ def evaluator(column: str) -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(rawPredictionCol=column, labelCol="label", numBins=0)
 
 
+def default_threshold(column: str) -> float:
+    """Where a score calls class 1 without a fitted threshold: 0 for margins, else one half."""
+    return 0.0 if column == "rawPrediction" else 0.5
+
+
 @dataclass
 class Tuned:
-    """Best model of a grid search, the grid table and the time it took."""
+    """Best model of a grid search, the grid table, its cost and the best point."""
 
     model: object
     grid: DataFrame
     column: str
     seconds: float
     best: dict
+    fits: int = 0
+    iterations: int | None = None
 
     def scores(self, df: DataFrame) -> DataFrame:
         return score_with(self.model, df, self.column)
 
 
+def staged_scores(model, df: DataFrame, stages: list[int], column: str) -> DataFrame:
+    """(id, label, stage, score): the score of the first `stage` trees of an ensemble.
+
+    Every tree is applied once; boosted margins and forest shares are running sums over the trees.
+    """
+    boosted = type(model).__name__.startswith("GBT")
+    out, terms = df.select("id", F.col("label").cast("int").alias("label"), "features"), []
+    for k, tree in enumerate(model.trees[:max(stages)]):
+        name = f"_tree{k}"
+        if hasattr(tree, "setProbabilityCol"):
+            tree = tree.setProbabilityCol(name).setRawPredictionCol("").setPredictionCol("")
+            terms.append(vector_to_array(F.col(name))[1])
+        else:
+            tree = tree.setPredictionCol(name)
+            terms.append(F.col(name) * (model.treeWeights[k] if boosted else 1.0))
+        out = tree.transform(out)
+
+    def score(trees: int) -> Column:
+        total = reduce(lambda a, b: a + b, terms[:trees])
+        if not boosted:
+            return total / len(terms[:trees])
+        return 1 / (1 + F.exp(-2 * total)) if column == "probability" else total
+
+    entries = F.array(*[F.struct(F.lit(n).alias("stage"), score(n).alias("score"))
+                        for n in stages])
+    return out.select("id", "label", F.inline(entries))
+
+
+#: fold -> (training rows, rows to score), each (id, label, features)
+Parts = Callable[[int], tuple[DataFrame, DataFrame]]
+
+
+def _fold_aucs(candidate: Candidate, maps: list[dict], parts: Parts, folds: int,
+               parallelism: int, spark: SparkSession) -> tuple[np.ndarray, int]:
+    """AUC of every grid point (down) in every fold (across), and the number of fits."""
+    staged = candidate.estimator.getParam(candidate.staged) if candidate.staged else None
+    groups: dict[tuple, list[int]] = {}
+    for i, point in enumerate(maps):
+        other = tuple((p, v) for p, v in point.items() if p != staged)
+        groups.setdefault(other, []).append(i)
+    found = np.zeros((len(maps), folds))
+    rows = [parts(fold) for fold in range(folds)]
+
+    def run(job: tuple[int, tuple]) -> None:
+        fold, other = job
+        fit_rows, score_rows = rows[fold]
+        if staged is None:
+            model = candidate.estimator.fit(fit_rows, dict(other))
+            scores = score_with(model, score_rows, candidate.score).withColumn("stage", F.lit(0))
+            stage_of = dict.fromkeys(groups[other], 0)
+        else:
+            stage_of = {i: maps[i][staged] for i in groups[other]}
+            stages = sorted(set(stage_of.values()))
+            model = candidate.estimator.fit(fit_rows, {**dict(other), staged: max(stages)})
+            scores = staged_scores(model, score_rows, stages, candidate.score)
+        value = {r["stage"]: r["auc"] for r in auc(scores, ["stage"]).collect()}  # one row per stage
+        for i, stage in stage_of.items():
+            found[i, fold] = value[stage]
+
+    jobs = [(fold, other) for other in groups for fold in range(folds)]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        pool.map(inheritable_thread_target(spark)(run), jobs)
+    return found, len(jobs)
+
+
 def tune(name: str, candidate: Candidate, train: DataFrame, folds: int = 3,
-         fold_col: str | None = None, parallelism: int = 1, seed: int = SEED) -> Tuned:
+         fold_col: str | None = None, parallelism: int = 1, seed: int = SEED,
+         pipelines: list[PipelineModel] | None = None) -> Tuned:
     """Grid search by cross-validated AUC, refit of the best point on all rows.
 
     With ``fold_col`` the folds are given (stratified); otherwise they are random. The input should
-    be persisted by the caller: every grid point iterates over it.
+    be persisted by the caller: every grid point iterates over it. ``pipelines`` (from
+    ``features.fold_pipelines``, then `train` has raw rows with id and label) puts the feature
+    pipeline inside the folds: no fit sees a parameter learned on the rows it is scored on.
     """
     maps = candidate.param_maps()
-    extra = {"foldCol": fold_col} if fold_col else {}
-    cv = CrossValidator(estimator=candidate.estimator, estimatorParamMaps=maps,
-                        evaluator=evaluator(candidate.score), numFolds=folds, seed=seed,
-                        parallelism=parallelism, **extra)
+    spark = train.sparkSession
     start = time.perf_counter()
-    fitted = cv.fit(train)
+    if candidate.staged or pipelines:
+        if not fold_col:
+            fold_col = "_fold"
+            train = train.withColumn(fold_col, F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(folds)))
+
+        def parts(fold: int) -> tuple[DataFrame, DataFrame]:
+            both = train.where(F.col(fold_col) != fold), train.where(F.col(fold_col) == fold)
+            if not pipelines:
+                return both
+            return tuple(materialise(pipelines[fold].transform(x).select("id", "label", "features"),
+                                     f"fold{fold}") for x in both)
+
+        aucs, fits = _fold_aucs(candidate, maps, parts, folds, parallelism, spark)
+        means, spreads = aucs.mean(axis=1), aucs.std(axis=1)
+        whole = train if not pipelines else materialise(
+            pipelines[folds].transform(train).select("id", "label", "features"), "all_folds")
+        model = candidate.estimator.fit(whole, maps[int(np.argmax(means))])
+    else:
+        extra = {"foldCol": fold_col} if fold_col else {}
+        cv = CrossValidator(estimator=candidate.estimator, estimatorParamMaps=maps,
+                            evaluator=evaluator(candidate.score), numFolds=folds, seed=seed,
+                            parallelism=parallelism, **extra)
+        fitted = cv.fit(train)
+        means, spreads, model = fitted.avgMetrics, fitted.stdMetrics, fitted.bestModel
+        fits = folds * len(maps)
     seconds = time.perf_counter() - start
     rows = [(name, i, ", ".join(f"{p.name}={v}" for p, v in m.items()) or "default",
-             float(mean), float(std))
-            for i, (m, mean, std) in enumerate(zip(maps, fitted.avgMetrics, fitted.stdMetrics))]
-    grid = train.sparkSession.createDataFrame(
+             float(mean), float(std)) for i, (m, mean, std) in enumerate(zip(maps, means, spreads))]
+    grid = spark.createDataFrame(
         rows, "model string, point int, params string, mean_auc double, std_auc double")
     best = max(rows, key=lambda r: (r[3], -r[1]))
-    return Tuned(fitted.bestModel, grid, candidate.score, seconds,
-                 {p.name: v for p, v in maps[best[1]].items()})
+    return Tuned(model, grid, candidate.score, seconds,
+                 {p.name: v for p, v in maps[best[1]].items()}, fits + 1, iterations(model))
+
+
+def tune_stored(store: str, name: str, candidate: Candidate, train: DataFrame, folds: int = 3,
+                fold_col: str | None = None, parallelism: int = 1, seed: int = SEED,
+                force: bool = False) -> Tuned:
+    """``tune`` with results kept below the folder `store`: a search whose rows, estimator, grid and
+    folds are known is read instead of fitted, unless `force` asks for a new fit that replaces it."""
+    spark = train.sparkSession
+    params = {p.name: str(v) for p, v in candidate.estimator.extractParamMap().items()}
+    key = results.digest(name, type(candidate.estimator).__name__, params, candidate.grid,
+                         candidate.score, candidate.staged, folds, fold_col, seed,
+                         results.fingerprint(train))
+    path = f"{store}/{name}-{key}"
+    if force or not results.exists(spark, path):
+        made = tune(name, candidate, train, folds, fold_col, parallelism, seed)
+
+        def write(place: str) -> None:
+            made.grid.coalesce(1).write.parquet(f"{place}/grid")
+            PipelineModel([made.model]).write().save(f"{place}/model")
+            spark.createDataFrame(
+                [(made.column, made.seconds, made.fits, made.iterations, json.dumps(made.best))],
+                "column string, seconds double, fits int, iterations int, best string").coalesce(
+                1).write.parquet(f"{place}/record")
+        results.publish(spark, path, write, replace=force)
+    record = spark.read.parquet(f"{path}/record").first()
+    return Tuned(PipelineModel.load(f"{path}/model").stages[0], spark.read.parquet(f"{path}/grid"),
+                 record["column"], record["seconds"], json.loads(record["best"]), record["fits"],
+                 record["iterations"])
 
 
 def iterations(model) -> int | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
@@ -14,10 +16,9 @@ from riskweave.operators import (compare, equiv, evaluate, experiments, explain,
                                  split, train)
 from riskweave.plans.base import CATEGORICAL, FLAGS, NUMERIC, ORDERS, prepared, table
 from riskweave.plans.registry import (BASE_SQL, CAT, FLAG, NUM, portable_sql, query, rounded, tidy)
-from riskweave.session import materialise
+from riskweave.session import materialise, scratch_folder, scratch_path
 from riskweave.sources import scores as score_store
 from riskweave.sources import tables
-from riskweave.session import scratch_path
 
 _BLOCK = [*NUM, *FLAG]
 
@@ -132,6 +133,25 @@ def impute_scale(spark, sf):
     return tidy(features.scaling_parameters(split.only(with_split(spark, sf), "train"), _BLOCK))
 
 
+_FOLD_PARTS = " UNION ALL ".join(
+    f"SELECT {f} AS part, * FROM split WHERE fold <> {f}" for f in range(3)) + (
+    " UNION ALL SELECT 3, * FROM split")
+
+
+@query("fold_parameters", SPLIT_SQL + f", parts AS ({_FOLD_PARTS}), med AS (" + " UNION ALL ".join(
+    f"SELECT part, '{c}' AS variable, quantile_disc({c}, 0.5) AS median FROM parts GROUP BY 1"
+    for c in _BLOCK) + "), vals AS (" + " UNION ALL ".join(
+    f"SELECT part, '{c}' AS variable, {c} AS value FROM parts" for c in _BLOCK) + f""")
+SELECT part, variable, {rounded('any_value(median) AS median', 'avg(coalesce(value, median)) AS mean',
+                                'stddev_samp(coalesce(value, median)) AS std')}
+FROM vals JOIN med USING (part, variable) GROUP BY 1, 2""")
+def fold_parameters(spark, sf):
+    """Imputation and scaling of every training part of three folds, from one summary per fold."""
+    rows = split.stratified_folds(prepared(spark, sf), 3, order=portable_hash(F.col("id")),
+                                  space=float(MODULUS))
+    return tidy(features.fold_parameters(rows, _BLOCK, "fold", 3))
+
+
 def _fitted(spark, sf):
     """Rows with their split, and the feature pipeline fitted on train."""
     data = with_split(spark, sf)
@@ -257,49 +277,52 @@ def ml_input(spark, sf) -> tuple[DataFrame, DataFrame]:
     return _ML[key]
 
 
-# The registered searches of the ensembles fit a corner of the grids in `train.candidates`; the other
-# models' are whole.
-_CORNERS = {
-    "RandomForest": {"numTrees": [10], "maxDepth": [5, 10]},
-    "ProbabilityForest": {"numTrees": [10], "maxDepth": [5]},
-    "GradientBoosting": {"maxIter": [10], "maxDepth": [3]},
-}
 #: Grid points fitted at the same time; the fits of small tables leave most tasks idle.
 _PARALLEL = 8
 _MODELS = ["LogisticRegression", "DecisionTree", "ProbabilityTree", "RandomForest",
            "ProbabilityForest", "GradientBoosting", "LinearSVC", "NaiveBayes"]
-_TUNED: dict[tuple[str, str, str], train.Tuned] = {}
 
 
 def tuned(spark, sf, name: str) -> tuple[train.Tuned, DataFrame, DataFrame]:
-    """The whole grid of a model, searched once per application and shared by its queries."""
+    """The whole grid of a model, searched once for the same training rows."""
     train_rows, test_rows = ml_input(spark, sf)
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _TUNED:
-        fit_rows = train_rows.persist()
-        n_features = fit_rows.first()["features"].size
-        candidate = train.candidates(n_features)[name]
-        candidate.grid = _CORNERS.get(name, candidate.grid)
-        _TUNED[key] = train.tune(name, candidate, fit_rows, fold_col="fold",
-                                 parallelism=_PARALLEL)
-        fit_rows.unpersist()
-    return _TUNED[key], train_rows, test_rows
+    fit_rows = train_rows.persist()
+    candidate = train.candidates(fit_rows.first()["features"].size)[name]
+    found = train.tune_stored(f"{scratch_folder(spark)}/fits", name, candidate, fit_rows,
+                              fold_col="fold", parallelism=_PARALLEL)
+    fit_rows.unpersist()
+    return found, train_rows, test_rows
 
 
 def fit_record(spark, sf, name: str) -> DataFrame:
-    """Best point, cross-validated, train and test AUC, threshold learned on train, test metrics."""
+    """Best point, cost of the search, iterations, cross-validated, train and test AUC, threshold
+    learned on train, and test metrics at it and at the default threshold."""
     result, train_rows, test_rows = tuned(spark, sf, name)
     tag = {"pipeline": F.lit("spark"), "model": F.lit(name)}
+    seconds, spent = {"search": result.seconds}, time.perf_counter()
+
+    def timed(step: str, df: DataFrame) -> DataFrame:
+        nonlocal spent
+        made = materialise(df, step)
+        now = time.perf_counter()
+        seconds[step], spent = now - spent, now
+        return made
+
+    on_test = timed("prediction", result.scores(test_rows).withColumns(tag))
     on_train = materialise(result.scores(train_rows).withColumns(tag), "scores")
-    on_test = materialise(result.scores(test_rows).withColumns(tag), "scores")
-    found = materialise(evaluate.youden_threshold(on_train), "threshold")
-    table_ = evaluate.metric_table(on_test, found)
+    found = timed("threshold", evaluate.youden_threshold(on_train))
+    table_ = timed("evaluation", evaluate.metric_table(
+        on_test, found, default=train.default_threshold(result.column)))
     keys = evaluate.KEYS
     auc_train = evaluate.auc(on_train).withColumnRenamed("auc", "auc_train")
     best = result.grid.orderBy(F.desc("mean_auc"), F.asc("point")).limit(1).select(
         "model", "params", F.col("mean_auc").alias("auc_cv"))
     rows = table_.join(auc_train, keys).join(found.select(*keys, "youden"), keys).join(best, "model")
-    return rows.withColumn("overfit_gap", F.col("auc_train") - F.col("auc"))
+    return rows.withColumns({
+        "overfit_gap": F.col("auc_train") - F.col("auc"),
+        "points": F.lit(result.grid.count()), "fits": F.lit(result.fits),
+        "iterations": F.lit(result.iterations).cast("int"),
+        **{f"seconds_{k}": F.lit(v) for k, v in seconds.items()}})
 
 
 for _name in _MODELS:
@@ -315,6 +338,17 @@ def cv_grid(spark, sf):
     return competition_rank(result.grid, ["model"], F.desc("mean_auc"))
 
 
+@query("cv_inside_pipeline")
+def cv_inside_pipeline(spark, sf):
+    """The same search with the feature pipeline of every training part inside the folds."""
+    rows = split.only(with_split(spark, sf), "train").withColumn("label", F.col("target") + 0.0)
+    rows = materialise(split.stratified_folds(rows, 3), "raw_folds")
+    pipelines = features.fold_pipelines(rows, ORDERS, "fold", 3)
+    candidate = train.candidates(8)["LogisticRegression"]
+    return train.tune("LogisticRegression", candidate, rows, fold_col="fold",
+                      parallelism=_PARALLEL, pipelines=pipelines).grid
+
+
 @query("random_folds_cv")
 def random_folds_cv(spark, sf):
     """The same search with unstratified random folds."""

@@ -9,7 +9,7 @@ from riskweave.functions.hashing import MODULUS, portable_hash
 from riskweave.operators import profile, ranks, split
 from riskweave.plans.base import CATEGORICAL, FLAGS, NUMERIC, base, prepared, table
 from riskweave.plans.registry import (BASE_SQL, CAT, CAT_LONG_SQL, FLAG, NUM, NUM_LONG_SQL,
-                                      long_sql, portable_sql, query, rounded, tidy)
+                                      long_sql, portable_sql, query, rounded, simpson_sql, tidy)
 
 _ALL = ["id", "target", "issue_year", *NUM, *FLAG, *CAT]
 
@@ -204,9 +204,24 @@ def normality_screen(spark, sf):
     return tidy(rows.withColumn("jarque_bera", F.round("jarque_bera", 3)))
 
 
-@query("ks_normality")
+_PHI = "(0.5e0 + " + simpson_sql("exp(-{u} * {u} / 2) / sqrt(2 * pi())", "0e0", "z", 400) + ")"
+
+
+@query("ks_normality", NUM_LONG_SQL + f""", h AS (
+SELECT variable, value, count(*) AS k FROM long GROUP BY 1, 2),
+mo AS (SELECT variable, avg(value) AS mean, stddev_samp(value) AS sd FROM long GROUP BY 1),
+st AS (SELECT variable, k, sum(k) OVER (PARTITION BY variable ORDER BY value) AS upto,
+  sum(k) OVER (PARTITION BY variable) AS n, (value - mean) / sd AS z
+  FROM h JOIN mo USING (variable) WHERE sd > 0),
+g AS (SELECT variable, n, upto, k, {_PHI} AS phi FROM st),
+d AS (SELECT variable, any_value(n)::DOUBLE AS n,
+  max(greatest(abs(upto / n - phi), abs((upto - k) / n - phi))) AS d FROM g GROUP BY 1),
+t AS (SELECT variable, d, sqrt(n) * d + 1 / (6 * sqrt(n)) + (sqrt(n) * d - 1) / (4 * n) AS t FROM d)
+SELECT variable, {rounded('d AS statistic', '''least(1e0, greatest(0e0, list_sum(list_transform(
+  range(1, 101), lambda j : (CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * j * j * t * t))))) AS p''')}
+FROM t""")
 def ks_normality(spark, sf):
-    return profile.ks_normality(prepared(spark, sf), ["quantity", "acct_bal"])
+    return tidy(profile.ks_normality(prepared(spark, sf), NUMERIC))
 
 
 @query("missing_by_column", BASE_SQL + ", m AS (" + " UNION ALL ".join(

@@ -111,7 +111,7 @@ NUM_LONG_SQL = BASE_SQL + f", long AS ({long_sql(NUM, 'id, target, issue_year')}
 CAT_LONG_SQL = BASE_SQL + f", long AS ({long_sql(CAT, 'id, target')})"
 
 
-def _simpson(integrand: str, start: str, length: str, steps: int = 4000) -> str:
+def simpson_sql(integrand: str, start: str, length: str, steps: int = 4000) -> str:
     return (f"list_sum(list_transform(range(0, {steps + 1}), lambda k : "
             f"(CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * "
             + integrand.replace("{u}", f"(({start}) + k * ({length}) / {steps}e0)")
@@ -120,11 +120,11 @@ def _simpson(integrand: str, start: str, length: str, steps: int = 4000) -> str:
 
 def normal_p_sql(z: str) -> str:
     """Two-sided normal p by numerical integration of the density."""
-    return "2 * " + _simpson("exp(-{u} * {u} / 2) / sqrt(2 * pi())", f"abs({z})", "12e0")
+    return "2 * " + simpson_sql("exp(-{u} * {u} / 2) / sqrt(2 * pi())", f"abs({z})", "12e0")
 
 
 def chi2_p_sql(x: str, df: str) -> str:
-    return _simpson(
+    return simpson_sql(
         f"exp(({df} - 1) * ln(greatest({{u}}, 1e-300)) - {{u}} * {{u}} / 2 + ln(2) "
         f"- {df} / 2e0 * ln(2) - lgamma({df} / 2e0))", f"sqrt({x})", f"(sqrt({df}) + 12)")
 
@@ -137,7 +137,7 @@ def binomial_p_sql(k: str, n: str) -> str:
 
 
 def t_p_sql(t: str, df: str) -> str:
-    return "2 * " + _simpson(
+    return "2 * " + simpson_sql(
         f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) "
         f"- ({df} + 1) / 2 * ln(1 + {{u}} * {{u}} / {df}))", f"abs({t})", "16e0")
 

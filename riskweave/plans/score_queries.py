@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from riskweave.functions.hashing import portable_draws
@@ -9,8 +11,9 @@ from riskweave.operators import compare, evaluate, explain, profile, ranks
 from riskweave.plans.base import prepared
 from riskweave.plans.registry import (binomial_p_sql, chi2_p_sql, normal_p_sql, portable_sql, query,
                                       rounded, tidy)
-from riskweave.plans.scores import (ALL_SETS, ALL_YOUDEN_SQL, SCORES_SQL, SETS, STEPS_SQL, YOUDEN_SQL,
-                                    long_scores, threshold_map, thresholds, wide_scores)
+from riskweave.plans.scores import (ALL_SETS, ALL_YOUDEN_SQL, MARGIN_YOUDEN_SQL, SCORES_SQL, SETS,
+                                    STEPS_SQL, YOUDEN_SQL, long_scores, threshold_map, thresholds,
+                                    wide_scores, with_margin)
 
 _AUC = "sum(pos * (neg_before + neg / 2e0) / p / n)"
 _AP = "sum(pos / p::DOUBLE * prec)"
@@ -60,9 +63,10 @@ def youden_threshold(spark, sf):
     return tidy(thresholds(spark, sf))
 
 
-_METRICS_SQL = YOUDEN_SQL + """, rules AS (
+_METRICS = """, rules AS (
 SELECT pipeline, model, 'youden' AS rule, threshold FROM youden
-UNION ALL SELECT pipeline, model, 'default', 0.5e0 FROM youden),
+UNION ALL SELECT pipeline, model, 'default', CASE WHEN pipeline = 'm' THEN 0e0 ELSE 0.5e0 END
+FROM youden),
 c AS (SELECT pipeline, model, rule, threshold,
   count(*) FILTER (score >= threshold AND label = 1) AS tp,
   count(*) FILTER (score >= threshold AND label = 0) AS fp,
@@ -70,17 +74,21 @@ c AS (SELECT pipeline, model, rule, threshold,
   count(*) FILTER (score < threshold AND label = 0) AS tn
   FROM long JOIN rules USING (pipeline, model) GROUP BY 1, 2, 3, 4)
 """
+_METRICS_SQL = YOUDEN_SQL + _METRICS
 _RATIOS = ("(tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy",
            "CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS precision",
            "CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall",
            "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f1")
 
 
-@query("metrics_at_threshold", _METRICS_SQL + f"""
+@query("metrics_at_threshold", MARGIN_YOUDEN_SQL + _METRICS + f"""
 SELECT pipeline, model, rule, tp, fp, fn, tn, {rounded('threshold', *_RATIOS)} FROM c""")
 def metrics_at_threshold(spark, sf):
-    rules = evaluate.default_rule(thresholds(spark, sf))
-    return tidy(evaluate.metrics_at(long_scores(spark, sf), rules))
+    """Probabilities have their default threshold at one half, the margin of pipeline m at 0."""
+    scores = with_margin(spark, sf)
+    rules = evaluate.default_rule(evaluate.youden_threshold(scores), value=F.when(
+        F.col("pipeline") == "m", 0.0).otherwise(0.5))
+    return tidy(evaluate.metrics_at(scores, rules))
 
 
 @query("share_flagged", YOUDEN_SQL + f"""
@@ -122,6 +130,16 @@ def top2_models(spark, sf):
                             [F.desc("auc"), F.asc("model")], 2))
 
 
+@query("best_model_excluding", STEPS_SQL + f""", a AS (
+SELECT pipeline, model, {_AUC} AS auc FROM steps WHERE model <> 'm1' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY auc DESC, model) AS k FROM a)
+SELECT pipeline, model, {rounded('auc')} FROM r WHERE k = 1""")
+def best_model_excluding(spark, sf):
+    """Best model of each pipeline besides one that is compared with it."""
+    return tidy(ranks.best_excluding(evaluate.auc(long_scores(spark, sf)), ["pipeline"],
+                                     [F.desc("auc"), F.asc("model")], "model", "m1"))
+
+
 @query("paired_observations", SCORES_SQL + """
 SELECT count(*) AS paired, 0::BIGINT AS repeated, 0::BIGINT AS unpaired FROM wide""")
 def paired_observations(spark, sf):
@@ -267,6 +285,16 @@ def _families(spark, sf) -> dict[str, list[tuple[str, str]]]:
     return {"between pipelines": between, "best models": [tuple(v) for v in found.values()]}
 
 
+def _poisson_sql(u: str) -> str:
+    """Poisson(1) count by inverting its distribution function; mass above 18 is below a double."""
+    parts, total, mass = [], 0.0, math.exp(-1.0)
+    for k in range(18):
+        total += mass
+        mass /= k + 1
+        parts.append(f"({u} >= {total!r}::DOUBLE)::INTEGER")
+    return " + ".join(parts)
+
+
 # A cell of n rows with the same label and scores draws Poisson(n) once, by its smallest id; the
 # distribution function of Poisson(n) is listed for each n that occurs.
 _BOOT = f""", cells AS (SELECT label, {', '.join(ALL_SETS)}, min(id) AS cell, count(*) AS n
@@ -275,9 +303,12 @@ mass AS (SELECT n, k, exp(k * ln(n) - n - lgamma(k + 1)) AS m
   FROM (SELECT DISTINCT n FROM cells), LATERAL (SELECT unnest(range(0, 40 + 4 * n)) AS k)),
 cdf AS (SELECT n, list(c ORDER BY k) AS cdf FROM (
   SELECT n, k, sum(m) OVER (PARTITION BY n ORDER BY k) AS c FROM mass) GROUP BY n),
-draws AS (SELECT cells.*, r, CASE WHEN r = 0 THEN n
-  ELSE len(list_filter(cdf, lambda c : c <= {portable_sql('cell', 'r')}::DOUBLE / 2147483647e0))
-  END AS w FROM cells JOIN cdf USING (n), range(0, {_REPLICATES + 1}) t(r)),
+uniforms AS (SELECT cells.*, r, {portable_sql('cell', 'r')}::DOUBLE / 2147483647e0 AS u
+  FROM cells, range(0, {_REPLICATES + 1}) t(r)),
+draws AS (SELECT * EXCLUDE (u), CASE WHEN r = 0 THEN 1 ELSE {_poisson_sql('u')} END AS w
+  FROM uniforms WHERE n = 1
+  UNION ALL SELECT uniforms.* EXCLUDE (u), CASE WHEN r = 0 THEN n
+  ELSE len(list_filter(cdf, lambda c : c <= u)) END FROM uniforms JOIN cdf USING (n) WHERE n > 1),
 kept AS (SELECT * FROM draws WHERE w > 0),
 wl AS ({" UNION ALL ".join(
     f"SELECT r, '{s}' AS s, {s} AS score, sum(w * label)::DOUBLE AS pos, "

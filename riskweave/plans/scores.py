@@ -55,6 +55,14 @@ def long_scores(spark: SparkSession, sf_dir: str, sets: list[str] = SETS) -> Dat
         "pipeline", "model", "id", "label", "score")
 
 
+def with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``long_scores`` and a margin (pipeline m), whose default threshold is 0."""
+    margin = wide_scores(spark, sf_dir, ["a_m1"]).select(
+        F.lit("m").alias("pipeline"), F.lit("m1").alias("model"), "id", "label",
+        (F.col("a_m1") - 0.5).alias("score"))
+    return long_scores(spark, sf_dir).unionByName(margin)
+
+
 def thresholds(spark: SparkSession, sf_dir: str, sets: list[str] = SETS) -> DataFrame:
     return youden_threshold(long_scores(spark, sf_dir, sets))
 
@@ -70,7 +78,9 @@ def _u(draw: int) -> str:
     return f"{portable_sql('id', str(draw))}::DOUBLE / 2147483647e0"
 
 
-def _scores_sql(sets: list[str]) -> str:
+def _scores_sql(sets: list[str], margin: bool = False) -> str:
+    """`wide` and `long`; with `margin` the latter also has m_m1, a score whose default cut is 0."""
+    margins = (" UNION ALL SELECT 'm', 'm1', id, label, a_m1 - 0.5e0 FROM wide" if margin else "")
     return BASE_SQL + f""", mixed AS (
 SELECT id, target AS label, {_u(1)} AS u1, {_u(2)} AS u2, {_u(3)} AS u3, {_u(4)} AS u4,
        coalesce(acct_bal, 5000e0) / 10000e0 AS z, target::DOUBLE AS y FROM base),
@@ -90,7 +100,7 @@ wide AS (SELECT id, label,
   FROM mixed),
 long AS ({" UNION ALL ".join(
     f"SELECT '{s[0]}' AS pipeline, '{s[2:]}' AS model, id, label, {s} AS score FROM wide"
-    for s in sets)})
+    for s in sets)}{margins})
 """
 
 
@@ -119,5 +129,6 @@ youden AS (SELECT pipeline, model, score AS threshold, j AS youden FROM (
   WHERE r = 1)
 """
 YOUDEN_SQL = STEPS_SQL + _YOUDEN
+MARGIN_YOUDEN_SQL = _scores_sql(SETS, True) + _STEPS + _YOUDEN
 #: The same over all twelve score sets.
 ALL_YOUDEN_SQL = _scores_sql(ALL_SETS) + _STEPS + _YOUDEN

@@ -4,13 +4,15 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from riskweave.operators import explain, features, mcar, split, train
+from riskweave.operators import evaluate, explain, features, mcar, split, train
 from riskweave.session import scratch_path
+from riskweave.sources import results
 from riskweave.sources import scores as store
 from riskweave.spec import FeatureSpec
 
@@ -146,6 +148,156 @@ def test_tune_with_given_folds_ranks_grid(people):
     assert result.scores(data).filter("score < 0 or score > 1").isEmpty()
 
 
+@pytest.fixture(scope="module")
+def raw_folds(people):
+    rows = people.withColumn("color", F.when(F.col("id") % 11 > 0, F.col("color"))).withColumn(
+        "half", F.when(F.col("id") < 3, F.col("x"))).withColumn("label", F.col("target") + 0.0)
+    return split.stratified_folds(rows, 3).coalesce(1).cache()
+
+
+@pytest.mark.parametrize("median", ["lower", "midpoint"])
+def test_fold_parameters_equal_separate_aggregates(raw_folds, median):
+    columns = ["x", "k", "half"]
+    got = {(r["part"], r["variable"]): r for r in features.fold_parameters(
+        raw_folds, columns, "fold", 3, median).collect()}
+    for part in range(4):
+        rows = raw_folds.where(F.col("fold") != part)
+        for r in features.scaling_parameters(rows, columns, median).collect():
+            mine = got.pop((part, r["variable"]))
+            assert mine["median"] == pytest.approx(r["median"], abs=1e-12)
+            assert mine["mean"] == pytest.approx(r["mean"], abs=1e-12)
+            assert mine["std"] == pytest.approx(r["std"])
+    # a part without any value of a column has no parameters to compare
+    assert all(r["median"] is None for r in got.values())
+
+
+def test_fold_pipelines_equal_separate_fits(raw_folds):
+    many = features.fold_pipelines(raw_folds, SPEC, "fold", 3)
+    assert len(many) == 4
+    for part, one in enumerate(many):
+        plain = features.build_pipeline(SPEC).fit(raw_folds.where(F.col("fold") != part))
+        assert features.feature_names(one, SPEC) == features.feature_names(plain, SPEC)
+        a, b = ({r["id"]: r["features"].toArray() for r in
+                 features.model_input(m, raw_folds).collect()} for m in (one, plain))
+        assert len(a) == 1200 and all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
+
+
+def test_search_with_the_pipeline_inside_the_folds(raw_folds):
+    many = features.fold_pipelines(raw_folds, SPEC, "fold", 3)
+    candidate = train.candidates(4)["LogisticRegression"]
+    found = train.tune("lr", candidate, raw_folds, fold_col="fold", parallelism=3, pipelines=many)
+    assert found.fits == 10 and len(found.grid.collect()) == 3
+    aucs = []
+    for part in range(3):
+        fitted = features.build_pipeline(SPEC, extra=[candidate.estimator.copy(
+            {candidate.estimator.regParam: found.best["regParam"]})]).fit(
+            raw_folds.where(F.col("fold") != part))
+        scored = train.score_with(fitted, raw_folds.where(F.col("fold") == part), "probability")
+        aucs.append(evaluate.auc(scored.withColumn("k", F.lit(1)), ["k"]).first()["auc"])
+    best = max(r["mean_auc"] for r in found.grid.collect())
+    assert best == pytest.approx(np.mean(aucs), abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def folded(people):
+    return split.stratified_folds(
+        VectorAssembler(inputCols=["x", "y2"], outputCol="features").transform(
+            people.withColumn("y2", F.col("id") % 17 + 0.0))
+        .withColumn("label", F.col("target").cast("double")), 3).select(
+        "id", "label", "features", "fold").coalesce(1).cache()
+
+
+@pytest.mark.parametrize("kind, trees, column", [
+    (GBTClassifier, "maxIter", "probability"), (GBTClassifier, "maxIter", "rawPrediction"),
+    (RandomForestClassifier, "numTrees", "probability"),
+    (RandomForestRegressor, "numTrees", "prediction")])
+def test_last_stage_is_the_whole_ensemble(folded, kind, trees, column):
+    model = kind(maxDepth=3, seed=3, **{trees: 5}).fit(folded)
+    whole = {r["id"]: r["score"] for r in train.score_with(model, folded, column).collect()}
+    rows = train.staged_scores(model, folded, [2, 5], column).collect()
+    assert {r["id"]: r["score"] for r in rows if r["stage"] == 5} == pytest.approx(whole)
+    assert len(rows) == 2 * len(whole)
+
+
+def test_prefix_of_boosting_is_a_shorter_boosting(folded):
+    long = GBTClassifier(maxIter=4, maxDepth=2, stepSize=0.1, seed=3).fit(folded)
+    short = GBTClassifier(maxIter=2, maxDepth=2, stepSize=0.1, seed=3).fit(folded)
+    want = {r["id"]: r["score"] for r in train.score_with(short, folded, "probability").collect()}
+    got = train.staged_scores(long, folded, [2], "probability").collect()
+    assert {r["id"]: r["score"] for r in got} == pytest.approx(want)
+
+
+def test_staged_search_equals_separate_fits(folded):
+    grid = {"maxIter": [1, 3], "maxDepth": [1, 2]}
+    staged = train.Candidate(GBTClassifier(stepSize=0.1, seed=3), grid, staged="maxIter")
+    plain = train.Candidate(GBTClassifier(stepSize=0.1, seed=3), grid)
+    one = train.tune("g", staged, folded, fold_col="fold", parallelism=4)
+    two = train.tune("g", plain, folded, fold_col="fold", parallelism=4)
+    assert (one.fits, two.fits) == (7, 13) and one.best == two.best
+    a, b = ({r["params"]: (r["mean_auc"], r["std_auc"]) for r in t.grid.collect()}
+            for t in (one, two))
+    assert a.keys() == b.keys() and len(a) == 4
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
+
+
+def test_stored_searches_are_reused_until_something_changes(spark, folded, monkeypatch):
+    runs = []
+    real = train.tune
+    monkeypatch.setattr(train, "tune", lambda *a, **k: runs.append(1) or real(*a, **k))
+    place = scratch_path(spark, "fits")
+    candidate = train.candidates(2)["LogisticRegression"]
+
+    def search(rows, **more):
+        return train.tune_stored(place, "lr", candidate, rows, fold_col="fold", **more)
+
+    first = search(folded)
+    again = search(folded.repartition(5))
+    assert len(runs) == 1 and again.best == first.best and again.fits == first.fits == 10
+    assert again.iterations == first.iterations >= 1
+    assert {r["id"]: r["score"] for r in again.scores(folded).collect()} == {
+        r["id"]: r["score"] for r in first.scores(folded).collect()}
+    search(folded, force=True)
+    assert len(runs) == 2
+    search(folded.withColumn("label", F.when(F.col("id") == 3, 1 - F.col("label")).otherwise(
+        F.col("label"))))
+    assert len(runs) == 3
+    candidate.grid = {"regParam": [1e-3]}
+    assert search(folded).fits == 4 and len(runs) == 4
+
+
+def test_fingerprints(spark):
+    rows = [(1, "a", None), (2, None, 1.5), (2, None, 1.5)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    same = results.fingerprint(df)
+    assert results.fingerprint(df.repartition(3)) == same
+    for other in (df.limit(2), df.withColumnRenamed("c", "d"), df.union(df.limit(1)),
+                  df.fillna(0.0), spark.createDataFrame(rows[:1] * 3, df.schema),
+                  df.select("a", F.lit(None).cast("string").alias("b"), "c")):
+        assert results.fingerprint(other) != same
+    empty = results.fingerprint(df.limit(0))
+    assert empty == results.fingerprint(df.where("a > 5")) != same
+
+
+def test_results_are_published_whole_and_once(spark):
+    path = scratch_path(spark, "result")
+    df = spark.range(3)
+
+    def broken(place):
+        df.write.parquet(f"{place}/x")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        results.publish(spark, path, broken)
+    assert not results.exists(spark, path)
+    assert results.publish(spark, path, lambda place: df.write.parquet(f"{place}/x"))
+    assert not results.publish(spark, path, lambda place: spark.range(9).write.parquet(f"{place}/x"))
+    assert spark.read.parquet(f"{path}/x").count() == 3
+    assert results.publish(spark, path, lambda place: spark.range(9).write.parquet(f"{place}/x"),
+                           replace=True)
+    assert spark.read.parquet(f"{path}/x").count() == 9
+
+
 def test_score_store_adds_replaces_and_refuses(spark):
     path = scratch_path(spark, "scores")
     base = [(i, i % 2, i / 10) for i in range(10)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import ranks
+from riskweave.operators import ranks, split
 from riskweave.session import materialise
 
 
@@ -95,3 +95,46 @@ def test_competition_rank_shares_the_smaller_rank(spark):
     df = spark.createDataFrame([("m", 0.5), ("m", 0.7), ("m", 0.7), ("m", 0.1)], "m string, s double")
     rows = ranks.competition_rank(df, ["m"], F.desc("s")).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 1, 3, 4]
+
+
+def test_frequent_keys_are_dealt_to_several_tasks(spark, table):
+    """Without adaptive execution no task of the lookup holds all rows of the hot value."""
+    present = table.where("x IS NOT NULL")
+    lookup = materialise(ranks.rank_table(present, "x", count="n"), "lookup")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ranks.spread_join(present, lookup, ["x"], "n")
+        hot = found.where("x = 5.0").groupBy(F.spark_partition_id()).count().collect()
+        rows = {r["id"]: r["avg_rank"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    total = sum(r["count"] for r in hot)
+    assert total > 900 and len(hot) > 2 and max(r["count"] for r in hot) < 0.7 * total
+    x = {i: v for i, _, v in hot_values() if v is not None}
+    ordered = np.sort(list(x.values()))
+    assert len(rows) == len(x)
+    for i, v in x.items():
+        low, high = np.searchsorted(ordered, v), np.searchsorted(ordered, v, side="right")
+        assert rows[i] == (low + 1 + high) / 2
+
+
+def test_left_lookup_keeps_rows_without_a_value(table):
+    rows = ranks.average_rank(table, "x").collect()
+    assert len(rows) == 3000 and sum(r["avg_rank"] is None for r in rows) == sum(
+        v is None for *_, v in hot_values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 2999, 3000, 5000])
+def test_smallest_hashes_equal_a_sort(table, n):
+    order = F.pmod(F.col("id") * 7919, F.lit(1009))  # with ties
+    got = [r["id"] for r in split.smallest_hashes(table, n, "id", order).collect()]
+    assert sorted(got) == sorted(sorted(range(3000), key=lambda i: (i * 7919 % 1009, i))[:n])
+
+
+def test_best_model_excluding_one(spark):
+    df = spark.createDataFrame([("a", "x", .9), ("a", "y", .7), ("a", "z", .7), ("b", "x", .4)],
+                               "p string, model string, auc double")
+    rows = ranks.best_excluding(df, ["p"], [F.desc("auc"), F.asc("model")], "model", "x").collect()
+    assert [tuple(r) for r in rows] == [("a", "y", .7)]
