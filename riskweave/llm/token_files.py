@@ -62,8 +62,11 @@ _POWERS = np.array([1 << k for k in range(64)], np.uint64)
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+$")
 _LEADING = re.compile(f"[{_SPACE}]+[^{_SPACE}]")
+#: A line feed before a letter, a word of Latin letters, and what follows it: an ASCII symbol.
+_LETTER = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]"
+_WORD = re.compile(f"(\n(?={_LETTER}))?( ?{_LETTER}+)(?:$|(?=[!-/:-@\\[-`{{-~]))")
 #: Chunks whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 1_000_000
 
 
 # ---- blocks
@@ -217,15 +220,24 @@ class TokenFile:
 
 # ---- encoding
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary file writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, as little-endian 32-bit numbers.
 
     With a byte-level pretokenizer nothing joins a letter or symbol to white space behind it: a match
     of the pattern takes white space only at its begin, and special strings hold none. A text is
     therefore the sequence of its chunks (white space, then what is no white space), each encoded by
-    itself, and a chunk seen before need not be encoded again. New chunks go to the library joined
-    into longer texts and are parted by the known byte lengths of the tokens. Other tokenizers get
-    whole texts.
+    itself, and a chunk seen before need not be encoded again. Nor does the pattern join a line feed
+    to a letter behind it, or a letter to an ASCII symbol behind it, so a new chunk is cut there: its
+    word may be known. New words are given to the library's model as the pretokens they are; other
+    new chunks are joined into longer texts and parted by the known byte lengths of the tokens. Other
+    tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -246,6 +258,10 @@ class Encoder:
             self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
             for t in added:
                 self.lengths[t["id"]] = len(t["content"].encode())
+            self.model = Tokenizer(self.tokenizer.model)  # takes pretokens
+            self.letters = {b: c for c, b in _byte_letters().items()}
+        # matches nothing where there are no special strings
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         self._known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -253,19 +269,56 @@ class Encoder:
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks; only those that begin with white space and hold more can be joined."""
+        """Encode what is new in new chunks."""
+        known, match, special = self._known, _WORD.match, self.special
+        words, others, made = [], [], []
+        for c in chunks:
+            found = match(c)
+            if found is None:
+                others.append(c)
+                continue
+            head, word = found.groups()
+            if head is None and len(word) == len(c):
+                words.append(c)
+            elif special.search(c):
+                others.append(c)
+            else:
+                made.append((c, head or "", word, c[found.end():]))
+        # the parts of cut chunks that are not new themselves
+        fresh = {m[2] for m in made}.difference(known, words)
+        self._learn_words([*words, *fresh])
+        ends = {m[1] for m in made}.union(m[3] for m in made) - {""}
+        self._learn_others(list(ends.difference(known, others)) + others)
+        known[""] = b""
+        known.update((c, known[head] + known[word] + known[rest]) for c, head, word, rest in made)
+
+    def _store(self, chunks: list[str], ids: np.ndarray, sizes: list[int]) -> None:
+        """Part the ids of joined chunks by the chunks' sizes in bytes."""
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self._known.update(zip(chunks, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words are single pretokens, written as the vocabulary file writes their bytes."""
+        blank = self.letters[32]
+        for low in range(0, len(words), 1024):
+            some = words[low:low + 1024]
+            spelt = [w.replace(" ", blank) if w.isascii() else
+                     w.encode().decode("latin-1").translate(self.letters) for w in some]
+            found = self.model.encode_batch_fast([spelt], is_pretokenized=True,
+                                                 add_special_tokens=False)[0]
+            self._store(some, np.array(found.ids, "<u4"), list(map(len, spelt)))
+
+    def _learn_others(self, chunks: list[str]) -> None:
+        """Only chunks that begin with white space and hold more can be joined."""
         joined, alone = [], []
         for c in chunks:
             (joined if _LEADING.match(c) else alone).append(c)
         self._known.update(zip(alone, self._whole(alone)))
         for low in range(0, len(joined), 1024):
             some = joined[low:low + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
-                           [0].ids, "<u4")
-            ends = np.cumsum([len(c.encode()) for c in some])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self._known.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+            found = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            self._store(some, np.array(found.ids, "<u4"), [len(c.encode()) for c in some])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text."""

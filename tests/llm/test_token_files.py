@@ -53,10 +53,24 @@ def test_encoder_equals_the_library():
         "<|endoftext|>", "  ", "'ll", " a", "\n\n", "12 3"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 16))) for _ in range(4000)]
     texts += [t for _, t in edge_rows(rng) if t]
+    texts += ["don't,<|endoftext|>x; a!! b--c d'll e's", "x<|endoftext", " naïve!é", "\nWord, \n\nWord \n Word\tx", "\nÉté!\n!", "a²b a_b ١a!٢"]
     for text, got in zip(texts, code.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_known_chunks_are_forgotten_in_time(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 40)
+    code, plain = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(7)
+    for _ in range(60):
+        texts = [" ".join(rng.choice("ab")*rng.randint(1, 9) + rng.choice(["", ",", "'s"])
+                          for _ in range(rng.randint(0, 12))) for _ in range(3)]
+        for text, got in zip(texts, code.encode(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(
+                text, add_special_tokens=False).ids
+    assert len(code._known) < 200
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     code, plain = token_files.Encoder(path), Tokenizer.from_file(path)
