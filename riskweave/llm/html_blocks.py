@@ -2,20 +2,21 @@
 
 A block is the text between two block-level tags; inline tags do not end it. White space inside a
 block becomes one space and character references are decoded. Comments, declarations, scripts,
-styles, templates and the head are no blocks. The head ends where its end tag stands or, as that may be left
+styles, templates (which can be nested) and the head are no blocks. The head ends where its end tag stands or, as that may be left
 out, before the first tag or text that cannot be in it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 # Tags, comments and elements without page text. Quoted attribute values may contain '>'.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<svg(?=[\s/])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<=/)>"  # closed by itself, empty
-    r"|<(?P<raw>script|style|template|title|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -122,6 +123,11 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
     stack = [Element("body", frozenset(), False)]
     parts: list[str] = []
     state = {"linked": 0, "links": 0, "h1": False}
+    opened: Counter[str] = Counter()  # open elements by tag
+
+    def close(k: int):
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
 
     def flush():
         if parts:
@@ -133,8 +139,15 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
             parts.clear()
         state["linked"] = 0
 
-    at, head = 0, 0
+    at, head, templates = 0, 0, 0
     for found in _TOKEN.finditer(html):
+        if templates or (found["tag"] or "").lower() == "template":
+            if not templates and not head and found.start() > at:
+                parts.append(html[at:found.start()])
+            if (found["tag"] or "").lower() == "template":
+                templates = max(0, templates + (-1 if found["end"] else 1))
+            at = found.end()
+            continue
         if head and _BLANK.sub("", html[at:found.start()]):
             head = 0
         if found.start() > at and not head:
@@ -154,10 +167,11 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
                 flush()
             elif tag == "a":
                 state["links"] = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag == "head":
             head = 1
@@ -172,8 +186,10 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
             state["links"] = 0
             for closed in _CLOSES.get(tag, ()):
                 for k in range(len(stack) - 1, 0, -1):
+                    if not opened[closed]:
+                        break
                     if stack[k].tag == closed:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in _SCOPES:
                         break
@@ -183,9 +199,10 @@ def blocks(html: str) -> list[tuple[str, list[int], bool]]:
             state["links"] = 1
         marks, main = _known_marks(tag, found["rest"])
         parent = stack[-1]
+        opened[tag] += 1
         stack.append(Element(tag, parent.marks | marks if marks else parent.marks,
                              parent.main if main is None else main))
-    if not head or _BLANK.sub("", html[at:]):
+    if not templates and (not head or _BLANK.sub("", html[at:])):
         parts.append(html[at:])
         if state["links"]:
             state["linked"] += len(html) - at

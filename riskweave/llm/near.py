@@ -6,10 +6,10 @@
 2. In sorted order every bucket yields its members next to its smallest id: a star, not all pairs.
 3. Every member is verified with the star partner it shares most bands with; components follow.
 4. Buckets that still hold several components are the rest: there, texts outside the largest
-   component are compared with the texts of other components in blocks. First they try only their most similar
-   partners among some of a block, which connects large groups without comparing all their pairs;
-   at last all that passes the estimate is verified. Then every pair that shares a band is verified
-   or already connected.
+   component meet the texts of other components in blocks. A block verifies on full sets what passes
+   the estimate and is not yet connected, unites at once, and returns only the links that united two
+   components: fewer rows than members, however many of them are similar. Then every pair that shares
+   a band and passes the estimate is verified or connected.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ BROADCAST_IDS = 500_000
 HOT_ROWS = 64
 #: Texts of one side in a block of the rest.
 BLOCK = 512
-#: Rounds of the rest: (partners tried per outsider and block, members looked at); the last has all.
-ROUNDS = ((1, 64), (4, 256), (None, None))
 Facts = Callable[[DataFrame], DataFrame]
+#: Text column -> (sorted distinct shingle hashes of each text, offsets)
+Shingles = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 BANDS_SCHEMA = "key long, sub long, id long"
 
 
@@ -147,22 +147,49 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
-def _rest(banding: Banding, tries: int | None, looks: int | None):
-    """Pairs of a block: outsiders with texts of other components that pass the estimate.
+class _Forest:
+    """Components of a block by number, united as links are found."""
+
+    def __init__(self, components: np.ndarray):
+        self.start = np.unique(components, return_inverse=True)[1].ravel()
+        self.parent = np.arange(self.start.max() + 1)
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        """Present component of every row."""
+        found = self.parent[self.start[rows]]
+        while (self.parent[found] != found).any():
+            found = self.parent[found]
+        return found
+
+    def unite(self, a: int, b: int) -> None:
+        self.parent[max(a, b)] = min(a, b)
+
+
+def _common(one: np.ndarray, sets: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with the sets of the given rows."""
+    starts, sizes = sets[1][rows], sets[1][rows + 1] - sets[1][rows]
+    ends = np.cumsum(sizes)
+    values = sets[0][np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+    place = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    hits = np.concatenate([[0], np.cumsum(one[place] == values)])
+    return hits[ends] - hits[ends - sizes]
+
+
+def _rest(banding: Banding, shingles: Shingles):
+    """Links of a block that unite components: outsiders with texts of other components.
 
     The input is sorted by block; a block has some BLOCK outsiders and 4 x BLOCK members at most, up
     to the unevenness of the hash that deals them.
     """
-    def pairs(rows: dict[str, np.ndarray]):
+    def pairs(rows: dict[str, np.ndarray], texts: pa.Array):
         outside = np.flatnonzero(rows["outside"])
         inside = np.flatnonzero(~rows["outside"])
-        found_a, found_b = [], []
+        forest, sets, found = _Forest(rows["component"]), None, []
         for i in outside:
-            differ = inside[rows["component"][inside] != rows["component"][i]]
+            own = forest.roots(np.array([i]))[0]
+            differ = inside[forest.roots(inside) != own]
             if not len(differ):
                 continue
-            if looks:
-                differ = differ[::-(-len(differ) // looks)]
             equal = (rows["sketch"][differ] == rows["sketch"][i]).mean(axis=1)
             differ = differ[equal >= banding.floor]  # the correction only lowers it
             if not len(differ):
@@ -170,16 +197,27 @@ def _rest(banding: Banding, tries: int | None, looks: int | None):
             est = sketch.similarity(
                 rows["sketch"][differ], np.repeat(rows["sketch"][i][None], len(differ), axis=0),
                 rows["size"][differ], np.repeat(rows["size"][i], len(differ)))
-            good = np.flatnonzero(est >= banding.floor)
-            if tries:
-                good = good[np.argsort(-est[good], kind="stable")[:tries]]
-            other = rows["id"][differ[good]]
-            found_a.append(np.minimum(other, rows["id"][i]))
-            found_b.append(np.maximum(other, rows["id"][i]))
-        if not found_a:
+            differ = differ[est >= banding.floor]
+            if not len(differ):
+                continue
+            if sets is None:
+                sets = shingles(texts)
+            one = sets[0][sets[1][i]:sets[1][i + 1]]
+            common = _common(one, sets, differ)
+            union = len(one) + sets[1][differ + 1] - sets[1][differ] - common
+            linked = differ[100 * common >= banding.percent * union]
+            # one link to each other component that is reached
+            roots, at = np.unique(forest.roots(linked), return_index=True)
+            for root, k in zip(roots.tolist(), at.tolist()):
+                now = int(forest.roots(np.array([i]))[0])
+                if root != now:
+                    forest.unite(now, root)
+                    found.append((rows["id"][i], rows["id"][linked[k]]))
+        if not found:
             return None
-        both = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        both = np.sort(np.array(found, dtype=np.int64), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])],
+                                          names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -207,7 +245,7 @@ def _rest(banding: Banding, tries: int | None, looks: int | None):
             part = {c: v[a:b] for c, v in columns.items()}
             part["sketch"] = _matrix(table.column("sketch").slice(a, b - a).combine_chunks(),
                                      banding.fine)
-            found = pairs(part)
+            found = pairs(part, table.column("text").slice(a, b - a).combine_chunks())
             if found is not None:
                 yield found
     return run
@@ -224,12 +262,13 @@ def _verified(similar: Callable[[pa.Array, pa.Array], np.ndarray]):
 
 
 def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Facts, Facts]],
-         similar: Callable[[pa.Array, pa.Array], np.ndarray], banding: Banding) -> DataFrame:
+         similar: Callable[[pa.Array, pa.Array], np.ndarray], shingles: Shingles,
+         banding: Banding) -> DataFrame:
     """(id, component) of ids linked with another one; ids without a link are absent.
 
     bands: rows of ``band_batch``. prepare(ids) gets all ids that share a band with another one and
     returns two functions of a table of some of them: one gives (id, size, sketch), the other
-    (id, text). similar says for two text columns which rows are linked.
+    (id, text). similar says for two text columns which rows are linked, shingles gives their sets.
     """
     def ids_of(pairs: DataFrame) -> DataFrame:
         return materialise(pairs.select(F.col("a").alias("id"))
@@ -257,22 +296,18 @@ def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Facts, Facts]],
     links = verify(materialise(likely, "likely"))
     labels = materialise(components(links), "labels")
 
-    tried = best
-    for tries, looks in ROUNDS:
-        blocks = _mixed(keys, labels)
-        if blocks.isEmpty():
-            break
-        facts = sketches(materialise(blocks.select("id").distinct(), "ids"))
-        more = (_dealt(blocks).join(facts, "id").repartition("block")
-                .sortWithinPartitions("block")
-                .mapInArrow(_rest(banding, tries, looks), "a long, b long").distinct())
-        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
-        found = verify(more)
-        if not found.isEmpty():
-            known = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
-            labels = materialise(components(known.unionAll(found)), "labels")
-        tried = tried.select("a", "b").unionAll(more.select("a", "b"))
-    return labels
+    blocks = _mixed(keys, labels)
+    if blocks.isEmpty():
+        return labels
+    ids = materialise(blocks.select("id").distinct(), "ids")
+    facts = sketches(ids).join(texts(ids), "id")
+    found = materialise(
+        _dealt(blocks).join(facts, "id").repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_rest(banding, shingles), "a long, b long").distinct(), "more")
+    if found.isEmpty():
+        return labels
+    known = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return materialise(components(known.unionAll(found)), "labels")
 
 
 def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:

@@ -94,3 +94,26 @@ def test_svg_that_closes_itself():
     texts = lambda html: [b[0] for b in html_blocks.blocks(html)]
     assert texts("<p>a</p><svg class='>' /><p>b</p><svg/><p>c</p>") == ["a", "b", "c"]
     assert texts("<p>a</p><svg><g/><text>x</text></svg><p>b</p><svg a='/'>y</svg>c") == ["a", "b", "c"]
+
+
+def test_comments_end_as_browsers_end_them():
+    texts = lambda html: [b[0] for b in html_blocks.blocks(html)]
+    assert texts("<p>a</p><!--><p>b</p><!---><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><!-- x --!><p>b</p><!-- <p>no</p> > -->c") == ["a", "b", "c"]
+    assert texts("<p>a</p><!---- ><p>no</p>--><p>b</p><!-- open <p>no</p>") == ["a", "b"]
+
+
+def test_nested_templates_show_nothing():
+    texts = lambda html: [b[0] for b in html_blocks.blocks(html)]
+    page = "<p>a</p><template><p>x</p><template>y</template><div>z</div></template><p>b</p>"
+    assert texts(page) == ["a", "b"]
+    assert texts("t<template>x") == ["t"] and texts("</template><p>a</p>") == ["a"]
+    assert texts("<head><template>x</template></head><p>a</p>") == ["a"]
+
+
+def test_many_unmatched_end_tags_take_linear_time():
+    import time
+    start = time.perf_counter()
+    assert html_blocks.blocks("<b>" * 100_000 + "</i>" * 100_000 + "x")[0][0] == "x"
+    assert html_blocks.blocks("<i><p>" * 50_000 + "</q>" * 50_000 + "y")[-1][0] == "y"
+    assert time.perf_counter() - start < 10

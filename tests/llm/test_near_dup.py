@@ -83,6 +83,55 @@ def test_keep_first_keeps_columns_and_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5]
 
 
+def test_repeated_doc_ids_are_judged_by_their_own_text(spark):
+    rng = random.Random(9)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    near_a = variants(rng, a, 1, 0.02)[0]
+    rows = [(0, near_a), (1, a), (1, b), (1, b), (2, b + " end"), (3, a)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in
+           near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 0, False)}
+    kept = near_dup.keep_first(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(0, near_a), (1, b), (1, b)])
+
+
+def test_a_block_returns_no_more_links_than_members(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(4000)])
+    base = rng.choice(words, 120)
+    texts = []
+    for k in range(120):  # a chain of components that all link to one another
+        own = base.copy()
+        own[rng.integers(0, 120, 3)] = rng.choice(words, 3)
+        texts.append(" ".join(own))
+    column = pa.array(texts)
+    sets = near_dup._shingles(column)
+    fine = sketch.signatures(*sets, near_dup.BANDING.fine)
+    rows = [(k, i, out) for i in range(120) for k, out in ((i, True), (i, False))]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([k for k, *_ in rows], pa.int64()), pa.array([7] * 240, pa.int64()),
+        pa.array([k for k, *_ in rows], pa.int64()), pa.array([o for *_, o in rows]),
+        pa.array([int(sets[1][k + 1] - sets[1][k]) for k, *_ in rows], pa.int64()),
+        pa.array([fine[k].tobytes() for k, *_ in rows], pa.binary()),
+        pa.array([texts[k] for k, *_ in rows])],
+        names=["id", "block", "component", "outside", "size", "sketch", "text"])
+    found = [tuple(r.values()) for out in near._rest(near_dup.BANDING, near_dup._shingles)(
+        iter([batch])) for r in out.to_pylist()]
+    assert 0 < len(found) < 120
+    got, want = Sets(), Sets()
+    full = [shingles(t) for t in texts]
+    for i in range(120):
+        for j in range(i):
+            common = len(full[i] & full[j])
+            if 100 * common >= 75 * (len(full[i]) + len(full[j]) - common):
+                want.join(i, j)
+    for i, j in found:
+        got.join(i, j)
+        common = len(full[i] & full[j])
+        assert 100 * common >= 75 * (len(full[i]) + len(full[j]) - common)
+    assert [got.find(i) for i in range(120)] == [want.find(i) for i in range(120)]
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
