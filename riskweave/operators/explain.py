@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,40 +148,77 @@ def conditions(instances: DataFrame, summary: list, numeric: list[str],
     return instances.select("id", F.posexplode(F.array(*texts)).alias("slot", "condition"))
 
 
-def _ridge(z: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float):
-    """Weighted ridge with a free intercept: (coefficients, intercept)."""
-    zm, ym = np.average(z, axis=0, weights=w), np.average(y, weights=w)
-    zc, yc = z - zm, y - ym
-    coef = np.linalg.solve((zc * w[:, None]).T @ zc + alpha * np.eye(z.shape[1]),
-                           (zc * w[:, None]).T @ yc)
-    return coef, ym - zm @ coef
-
-
-def _fit_group(pdf: pd.DataFrame, top: int) -> pd.DataFrame:
-    """Proximity-weighted linear fit of one instance's neighbours, strongest features only."""
-    pdf = pdf.sort_values("_k")
-    z = np.vstack(pdf["_z"].to_numpy())
-    y = pdf["_p"].to_numpy(dtype=float)
+def _gram(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted cross products of (1, z, y), proximity as weight; grams of parts add up."""
     width = 0.75 * np.sqrt(z.shape[1])
     w = np.sqrt(np.exp(-(1 - z).sum(axis=1) / width ** 2))
-    first, _ = _ridge(z, y, w, 0.01)
-    used = np.sort(np.argsort(-np.abs(first), kind="stable")[:top])
-    coef, intercept = _ridge(z[:, used], y, w, 1.0)
-    fitted = z[:, used] @ coef + intercept
-    total = np.sum(w * (y - np.average(y, weights=w)) ** 2)
-    r2 = 1 - np.sum(w * (y - fitted) ** 2) / total if total > 0 else 0.0
-    return pd.DataFrame({"id": pdf["id"].iloc[0], "seed": pdf["_seed"].iloc[0], "slot": used,
-                         "weight": coef, "r2": r2, "local_prediction": fitted[0],
-                         "model_prediction": y[0]})
+    rows = np.column_stack([np.ones(len(z)), z, y])
+    return (rows * w[:, None]).T @ rows
 
 
-def lime_batch(instances: DataFrame, fitted, train: DataFrame, numeric: list[str],
-               categorical: list[str], column: str = "probability", samples: int = 5000,
-               top: int = 10, seeds: list[int] = (42,)) -> DataFrame:
-    """Top conditions with weights for every instance and seed.
+def _solved(gram: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(features used, their coefficients, r2, prediction at the instance) from a gram matrix.
 
-    All neighbours of all instances are scored by one ``transform``; each group that is fitted has
-    exactly ``samples`` rows.
+    A ridge fit of all features chooses the strongest ones, a second one fits those alone; both need
+    no more than the sums.
+    """
+    size = gram[0, 0]
+    mean = gram[0, 1:] / size
+    centred = gram[1:, 1:] - size * np.outer(mean, mean)
+    zz, zy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
+    first = np.linalg.solve(zz + 0.01 * np.eye(len(zz)), zy)
+    used = np.sort(np.argsort(-np.abs(first), kind="stable")[:top])
+    part, target = zz[np.ix_(used, used)], zy[used]
+    coef = np.linalg.solve(part + np.eye(len(used)), target)
+    left = yy - 2 * coef @ target + coef @ part @ coef
+    # the instance has every feature unchanged
+    here = mean[-1] - mean[:-1][used] @ coef + coef.sum()
+    return used, coef, float(1 - left / yy) if yy > 0 else 0.0, float(here)
+
+
+def _gram_rows(batches):
+    """One gram for each (id, seed, model) of a batch, and the instance's own prediction."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c) for c in ("id", "_seed", "model")]
+        keys = pd.MultiIndex.from_arrays([c.to_pandas() for c in columns])
+        codes, known = keys.factorize()
+        z = np.vstack(batch.column("_z").to_numpy(zero_copy_only=False))
+        y = batch.column("_p").to_numpy()
+        own = batch.column("_k").to_numpy() == 0
+        made = []
+        for k, key in enumerate(known):
+            at = codes == k
+            gram = _gram(z[at], y[at])
+            mine = y[at & own]
+            made.append((*key, gram.ravel(), float(mine[0]) if len(mine) else None))
+        ids, seeds, models, grams, mine = zip(*made)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(seeds, pa.int32()), pa.array(models, pa.string()),
+             pa.array(grams, pa.list_(pa.float64())), pa.array(mine, pa.float64())],
+            names=["id", "seed", "model", "gram", "own"])
+
+
+def _fitted_group(pdf: pd.DataFrame, top: int) -> pd.DataFrame:
+    """The fit of one (id, seed, model) from the grams of its parts."""
+    gram = np.sum(np.vstack(pdf["gram"]), axis=0)
+    size = int(round(len(gram) ** 0.5))
+    used, coef, r2, here = _solved(gram.reshape(size, size), top)
+    return pd.DataFrame({
+        "id": pdf["id"].iloc[0], "seed": pdf["seed"].iloc[0], "model": pdf["model"].iloc[0],
+        "slot": used, "weight": coef, "r2": r2, "local_prediction": here,
+        "model_prediction": pdf["own"].max()})
+
+
+def lime_models(instances: DataFrame, fitted: dict[str, tuple], train: DataFrame,
+                numeric: list[str], categorical: list[str], samples: int = 5000, top: int = 10,
+                seeds: list[int] = (42,)) -> DataFrame:
+    """Top conditions with weights for every model, instance and seed.
+
+    ``fitted`` maps a name to (pipeline model, score column). All models score the same neighbours,
+    which are drawn and written once. A fit needs its neighbours only through weighted sums, so every
+    batch reduces them to one matrix per (instance, seed, model) and only those meet.
     """
     # bins and categories per feature, never rows
     summary = reference_summary(train, numeric, categorical).collect()
@@ -190,15 +230,28 @@ def lime_batch(instances: DataFrame, fitted, train: DataFrame, numeric: list[str
     near = perturb(per_seed, summary, numeric, categorical, samples, F.col("_s"))
     # a few instances become many rows to score: spread them over all tasks
     near = near.repartition(default_buckets(near.sparkSession))
-    scored = fitted.transform(near).select("id", "_seed", "_k", "_z",
-                                           score_column(column).alias("_p"))
-    fits = scored.groupBy("id", "_seed").applyInPandas(
-        lambda pdf: _fit_group(pdf, top),
-        "id long, seed int, slot int, weight double, r2 double, local_prediction double,"
-        " model_prediction double")
+    if len(fitted) > 1:
+        near = materialise(near, "neighbours")
+    scored = [model.transform(near).select(
+        F.col("id").cast("long"), F.col("_seed").cast("int"), F.lit(name).alias("model"), "_k", "_z",
+        score_column(column).cast("double").alias("_p")) for name, (model, column) in fitted.items()]
+    grams = reduce(DataFrame.unionByName, scored).mapInArrow(
+        _gram_rows, "id long, seed int, model string, gram array<double>, own double")
+    fits = grams.groupBy("id", "seed", "model").applyInPandas(
+        lambda pdf: _fitted_group(pdf, top),
+        "id long, seed int, model string, slot int, weight double, r2 double,"
+        " local_prediction double, model_prediction double")
     return fits.join(conditions(filled, summary, numeric, categorical), ["id", "slot"])
 
 
+def lime_batch(instances: DataFrame, fitted, train: DataFrame, numeric: list[str],
+               categorical: list[str], column: str = "probability", samples: int = 5000,
+               top: int = 10, seeds: list[int] = (42,)) -> DataFrame:
+    """``lime_models`` of one model."""
+    return lime_models(instances, {"model": (fitted, column)}, train, numeric, categorical, samples,
+                       top, seeds).drop("model")
+
+
 def _fill(instances: DataFrame, train: DataFrame, numeric: list[str]) -> DataFrame:
     medians = exact_quantiles(train, numeric, [0.5], method="observed")
     lookup = medians.agg(F.map_from_entries(F.collect_list(

@@ -135,7 +135,7 @@ def nullity_correlation(spark, sf):
     return tidy(assoc.nullity_correlation(prepared(spark, sf), NUMERIC))
 
 
-_ETA = [(c, x) for c in ("segment", "nation", "priority") for x in ("quantity", "acct_bal", "tax")]
+_ETA = [(c, x) for c in CAT for x in NUM]
 
 
 @query("eta_squared", BASE_SQL + ", long AS (" + " UNION ALL ".join(

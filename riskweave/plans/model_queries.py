@@ -179,14 +179,18 @@ def vector_means(spark, sf):
     return tidy(features.vector_means(test, names))
 
 
-@query("learned_parameter_gaps")
+@query("learned_parameter_gaps", SPLIT_SQL + f", filled AS (SELECT {_FILLED} FROM train), s AS ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS variable, avg({c}) AS mean, stddev_samp({c}) AS std"
+                            f" FROM filled" for c in _BLOCK)
+       + f") SELECT variable, {rounded('mean', 'std', 'mean AS mean_right', 'std AS std_right')} FROM s")
 def learned_parameter_gaps(spark, sf):
-    """Scaler parameters of the fitted pipeline against plain aggregates."""
+    """Scaler parameters of the fitted pipeline beside plain aggregates."""
     data, fitted = _fitted(spark, sf)
     rows = split.only(data, "train")
     learned = features.learned_parameters(spark, fitted, _BLOCK)
     direct = features.scaling_parameters(rows, _BLOCK)
-    return equiv.parameter_differences(learned, direct, ["mean", "std"])
+    rows = equiv.parameter_differences(learned, direct, ["mean", "std"])
+    return tidy(rows.select("variable", "mean", "std", "mean_right", "std_right"))
 
 
 @query("scale_roundtrip", SPLIT_SQL + f"""
@@ -236,7 +240,7 @@ def balance_weights(spark, sf):
                                            F.sum("weight").alias("total_weight")))
 
 
-_NB = ["n_lines", "quantity", "discount", "tax"]
+_NB = NUM
 _NB_LOG = " + ".join(
     f"(-0.5e0 * ln(2 * pi() * (v_{c} + eps)) - ({c} - m_{c}) ** 2 / (2 * (v_{c} + eps)))" for c in _NB)
 
@@ -389,7 +393,9 @@ def hinge_objective(spark, sf):
                                     float(model.coefficients.norm(2)) ** 2, cost=1.0)
 
 
-@query("score_store")
+@query("score_store", SPLIT_SQL + """
+SELECT 'spark' AS pipeline, model, count(*) AS n, sum(target)::BIGINT AS positives
+FROM split, (VALUES ('lr'), ('lr2')) t(model) WHERE split = 'test' GROUP BY 2""")
 def score_store_roundtrip(spark, sf):
     """Two models written to the score store, one replaced, read back with a partition filter."""
     train_rows, test_rows = ml_input(spark, sf)
@@ -401,7 +407,8 @@ def score_store_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", SPLIT_SQL + """
+SELECT count(*) AS n, 0e0 AS max_gap FROM split WHERE split = 'test'""")
 def model_roundtrip(spark, sf):
     """Feature pipeline and classifier saved as one model, loaded, and compared on the test rows."""
     data = with_split(spark, sf)
@@ -414,7 +421,8 @@ def model_roundtrip(spark, sf):
     one = evaluate.score_rows(whole, test, label="target").withColumnRenamed("score", "before")
     two = evaluate.score_rows(loaded, test, label="target").withColumnRenamed("score", "after")
     return one.join(two.drop("label"), "id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_gap"))
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.max(F.abs(F.col("before") - F.col("after"))), 9).alias("max_gap"))
 
 
 @query("model_comparison")
@@ -460,57 +468,55 @@ def lime_stability(spark, sf):
     return explain.condition_stability(runs, len(seeds))
 
 
-_REF = ["quantity", "acct_bal"]
+@query("explanation_chain")
+def explanation_chain(spark, sf):
+    """The clearest false negative and false positive of two fitted models, explained by both: each
+    condition with its weight in either explanation, and the overlap of the two."""
+    data = with_split(spark, sf)
+    rows, test = split.only(data, "train"), split.only(data, "test")
+    classifiers = {"lr": LogisticRegression(labelCol="target", maxIter=100),
+                   "nb": NaiveBayes(labelCol="target", modelType="gaussian")}
+    fitted = {n: features.build_pipeline(ORDERS, extra=[c]).fit(rows)
+              for n, c in classifiers.items()}
+    wide, limits = None, {}
+    for name, model in fitted.items():
+        on_train = evaluate.score_rows(model, rows, label="target").withColumns(
+            {"pipeline": F.lit("spark"), "model": F.lit(name)})
+        limits[name] = evaluate.youden_threshold(on_train).first()["threshold"]  # one row
+        scored = evaluate.score_rows(model, test, label="target").withColumnRenamed("score", name)
+        wide = scored if wide is None else wide.join(scored.drop("label"), "id")
+    thresholds = F.create_map(*[x for n, v in limits.items() for x in (F.lit(n), F.lit(v))])
+    cases = explain.clearest_cases(explain.hard_cases(materialise(wide, "wide"), "lr", "nb",
+                                                      thresholds))
+    chosen = materialise(test.join(cases.select("id"), "id", "left_semi"), "cases")  # two rows
+    made = materialise(explain.lime_models(
+        chosen, {n: (m, "probability") for n, m in fitted.items()}, rows, NUMERIC,
+        [*FLAGS, *CATEGORICAL]), "explanations")
+    aligned = explain.compare_explanations(*[made.where(F.col("model") == n) for n in fitted])
+    return aligned.join(explain.explanation_overlap(aligned), "id").join(
+        cases.select("id", "kind"), "id")
+
+
+_REF = NUM
 
 
 @query("reference_summary", SPLIT_SQL + ", q AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2,"
     f" quantile_cont({c}, 0.75) AS q3 FROM train" for c in _REF) + "), v AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, {c} AS value FROM train WHERE {c} IS NOT NULL" for c in _REF) + f"""),
-b AS (SELECT variable, (q1 < value)::INTEGER + (q2 < value)::INTEGER + (q3 < value)::INTEGER AS bin, value
+b AS (SELECT variable, (q1 < value)::INTEGER + (q2 < value AND q2 > q1)::INTEGER
+  + (q3 < value AND q3 > q2)::INTEGER AS bin, value
   FROM v JOIN q USING (variable))
 SELECT variable, bin, NULL::VARCHAR AS level, count(*) AS n, {rounded('avg(value) AS mean',
   'stddev_pop(value) AS sd', 'min(value) AS lo', 'max(value) AS hi')} FROM b GROUP BY 1, 2
-UNION ALL SELECT 'segment', NULL, segment, count(*), NULL, NULL, NULL, NULL FROM train GROUP BY 3""")
+""" + "".join(
+    f"UNION ALL SELECT '{c}', NULL, {c}, count(*), NULL, NULL, NULL, NULL FROM train GROUP BY 3 "
+    for c in CAT))
 def reference_summary(spark, sf):
-    rows = explain.reference_summary(split.only(with_split(spark, sf), "train"), _REF, ["segment"])
+    rows = explain.reference_summary(split.only(with_split(spark, sf), "train"), _REF, CATEGORICAL)
     return tidy(rows.drop("cuts"))
 
 
-@query("fit_scale_curve")
-def fit_scale_curve(spark, sf):
-    """Fit time and AUC for growing shares and copies of the training rows."""
-    train_rows, test_rows = ml_input(spark, sf)
-    return experiments.scale_curve(train_rows, test_rows, {
-        "LogisticRegression": {"regParam": 1e-5}, "DecisionTree": {"maxDepth": 10},
-        "RandomForest": {"maxDepth": 10, "numTrees": 50}})
-
-
-@query("fit_time_ratios")
-def fit_time_ratios(spark, sf):
-    """Ratio of two models' fit times by size and the first size at which the second is faster."""
-    curve = materialise(fit_scale_curve(spark, sf), "curve")
-    pair = ["LogisticRegression", "DecisionTree"]
-    wide = curve.groupBy("n_train").pivot("model", pair).agg(F.first("fit_seconds"))
-    wins = experiments.first_win(wide.withColumn("all", F.lit(" against ".join(pair))), "all",
-                                 "n_train", *pair)
-    ratios = experiments.timing_ratios(curve, "n_train", "model", *pair, "fit_seconds")
-    return ratios.withColumn("wins_from", wins.select("wins_from").scalar())
-
-
-@query("partition_variants")
-def partition_variants(spark, sf):
-    train_rows, test_rows = ml_input(spark, sf)
-    return experiments.partition_variants(train_rows, test_rows, [8, 32, 128], "DecisionTree",
-                                          [1, 3])
-
-
-@query("cache_variants")
-def cache_variants(spark, sf):
-    train_rows, test_rows = ml_input(spark, sf)
-    return experiments.cache_variants(train_rows, test_rows)
-
-
 @query("max_bins_variants")
 def max_bins_variants(spark, sf):
     train_rows, test_rows = ml_input(spark, sf)

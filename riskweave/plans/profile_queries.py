@@ -290,7 +290,7 @@ SELECT {keys}variable, bin, {rounded(f'lo + (hi - lo) * bin / {bins} AS left_edg
        count(*) AS n FROM b GROUP BY {keys}variable, bin, lo, hi"""
 
 
-_HIST = ["quantity", "acct_bal", "n_lines", "ship_gap"]
+_HIST = NUM
 
 
 @query("histogram", _histogram_sql(BASE_SQL + f", long AS ({long_sql(_HIST)})", 50))
@@ -345,7 +345,7 @@ def clip_at_percentile(spark, sf):
     return tidy(profile.clip_upper(rows, ["quantity", "acct_bal"], 0.995))
 
 
-@query("density_by_class", BASE_SQL + f""", long AS ({long_sql(['quantity', 'acct_bal'])}),
+@query("density_by_class", BASE_SQL + f""", long AS ({long_sql(NUM)}),
 e AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM long GROUP BY 1),
 s AS (SELECT target, variable, count(*) AS total, stddev_samp(value) * count(*) ** (-0.2) AS h
       FROM long GROUP BY 1, 2),
@@ -359,7 +359,7 @@ SELECT target, variable, point::INTEGER AS point,
            ' / (h * sqrt(2 * pi()))) AS density', digits=8)}
 FROM g GROUP BY 1, 2, 3""")
 def density_by_class(spark, sf):
-    curves = profile.density_curves(prepared(spark, sf), ["quantity", "acct_bal"], "target")
+    curves = profile.density_curves(prepared(spark, sf), NUMERIC, "target")
     return curves.select("target", "variable", "point", F.round("x", 6).alias("x"),
                          F.round("density", 8).alias("density"))
 

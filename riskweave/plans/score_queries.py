@@ -351,22 +351,22 @@ def bootstrap_paired(spark, sf):
 
 
 @query("weighted_metrics", SCORES_SQL + f""", w AS (
-SELECT score, sum((1 + id % 3) * label)::DOUBLE AS pos, sum((1 + id % 3) * (1 - label))::DOUBLE AS neg
-FROM long WHERE pipeline = 'a' AND model = 'm1' GROUP BY 1),
-s AS (SELECT *, sum(pos) OVER () AS p, sum(neg) OVER () AS n,
-  coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
-  sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
-  sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM w)
-SELECT 'a_m1' AS "set", {rounded('sum(pos * (nb + neg / 2) / p / n) AS auc',
+SELECT pipeline || '_' || model AS s, score, sum((1 + id % 3) * label)::DOUBLE AS pos,
+  sum((1 + id % 3) * (1 - label))::DOUBLE AS neg FROM long GROUP BY 1, 2),
+st AS (SELECT *, sum(pos) OVER (PARTITION BY s) AS p, sum(neg) OVER (PARTITION BY s) AS n,
+  coalesce(sum(neg) OVER (PARTITION BY s ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS nb,
+  sum(pos) OVER (PARTITION BY s ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+  sum(neg) OVER (PARTITION BY s ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM w)
+SELECT s AS "set", {rounded('sum(pos * (nb + neg / 2) / p / n) AS auc',
   'sum(pos / p * tp / (tp + fp)) AS ap',
   '2 * sum(pos) FILTER (score >= 0.5) / (2 * sum(pos) FILTER (score >= 0.5)'
-  ' + sum(neg) FILTER (score >= 0.5) + sum(pos) FILTER (score < 0.5)) AS f1')} FROM s""")
+  ' + sum(neg) FILTER (score >= 0.5) + sum(pos) FILTER (score < 0.5)) AS f1')} FROM st GROUP BY 1""")
 def weighted_metrics(spark, sf):
     wide = wide_scores(spark, sf)
-    rows = wide.select(F.lit("a_m1").alias("set"), "label", F.col("a_m1").alias("score"),
-                       (1 + F.pmod("id", F.lit(3))).alias("weight"))
-    return tidy(compare.weighted_metrics(rows, ["set"], ranks.cut_points(wide, ["a_m1"]),
-                                         F.lit(0.5)))
+    rows = ranks.stacked(wide, SETS, ["id", "label"], "set", "score").withColumn(
+        "weight", 1 + F.pmod("id", F.lit(3)))
+    return tidy(compare.weighted_metrics(rows, ["set"], ranks.cut_points(wide, SETS), F.lit(0.5)))
 
 
 @query("test_agreement", _BOOT_SQL + _COV + _DELONG + f"""
@@ -450,8 +450,8 @@ def case_lookup(spark, sf):
         "id", "target", "segment", "nation")
 
 
-_EXPL_SQL = SCORES_SQL + """, ex AS (SELECT id, 'c' || (id % 5 + k) AS condition, k, a_m1, b_m1
-  FROM wide, range(0, 4) t(k)),
+_EXPL_SQL = _HARD_SQL + """, ex AS (SELECT id, 'c' || (id % 5 + k) AS condition, k, a_m1, b_m1
+  FROM hard, range(0, 4) t(k)),
 l AS (SELECT id, condition, round(a_m1 / (k + 1), 6) AS weight_left FROM ex),
 r AS (SELECT id, 'c' || (id % 5 + k + id % 3) AS condition, round(b_m1 / (k + 1), 6) AS weight_right FROM ex),
 al AS (SELECT coalesce(l.id, r.id) AS id, coalesce(l.condition, r.condition) AS condition,
@@ -460,7 +460,9 @@ al AS (SELECT coalesce(l.id, r.id) AS id, coalesce(l.condition, r.condition) AS
 
 
 def _aligned(spark, sf):
-    rows = wide_scores(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    """Weights by rule for the hard cases, so that SQL can repeat them; ``explanation_chain`` aligns
+    those of fitted models."""
+    rows = _hard(spark, sf).select("id", "a_m1", "b_m1").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
     first = F.pmod("id", F.lit(5)) + F.col("k")
     left = rows.select("id", F.concat(F.lit("c"), first).alias("condition"),
                        F.round(F.col("a_m1") / (F.col("k") + 1), 6).alias("weight"))

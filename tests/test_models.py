@@ -148,10 +148,15 @@ def test_tune_with_given_folds_ranks_grid(people):
     assert result.scores(data).filter("score < 0 or score > 1").isEmpty()
 
 
+WIDE = FeatureSpec(id="id", status="s", outcomes={}, numeric=["x", "k"],
+                   categorical=["color", "kind"], rare={"color": "other"}, rare_share=0.02)
+
+
 @pytest.fixture(scope="module")
 def raw_folds(people):
     rows = people.withColumn("color", F.when(F.col("id") % 11 > 0, F.col("color"))).withColumn(
-        "half", F.when(F.col("id") < 3, F.col("x"))).withColumn("label", F.col("target") + 0.0)
+        "half", F.when(F.col("id") < 3, F.col("x"))).withColumns({
+            "label": F.col("target") + 0.0, "kind": F.concat(F.lit("v"), F.col("id") % 13)})
     return split.stratified_folds(rows, 3).coalesce(1).cache()
 
 
@@ -172,11 +177,11 @@ def test_fold_parameters_equal_separate_aggregates(raw_folds, median):
 
 
 def test_fold_pipelines_equal_separate_fits(raw_folds):
-    many = features.fold_pipelines(raw_folds, SPEC, "fold", 3)
+    many = features.fold_pipelines(raw_folds, WIDE, "fold", 3)
     assert len(many) == 4
     for part, one in enumerate(many):
-        plain = features.build_pipeline(SPEC).fit(raw_folds.where(F.col("fold") != part))
-        assert features.feature_names(one, SPEC) == features.feature_names(plain, SPEC)
+        plain = features.build_pipeline(WIDE).fit(raw_folds.where(F.col("fold") != part))
+        assert features.feature_names(one, WIDE) == features.feature_names(plain, WIDE)
         a, b = ({r["id"]: r["features"].toArray() for r in
                  features.model_input(m, raw_folds).collect()} for m in (one, plain))
         assert len(a) == 1200 and all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
@@ -366,16 +371,59 @@ def test_little_mcar_matches_row_wise_em(spark):
     assert 0 < got["p"] < 1
 
 
-def test_local_fit_recovers_linear_weights():
+def neighbours(n=2000):
     rng = np.random.default_rng(0)
-    z = (rng.random((2000, 6)) < 0.5).astype(float)
+    z = (rng.random((n, 6)) < 0.5).astype(float)
     z[0] = 1
-    y = 0.1 + z @ np.array([0.3, -0.2, 0.1, 0.0, 0.0, 0.0])
-    pdf = pd.DataFrame({"id": 1, "_seed": 0, "_k": range(2000), "_z": list(z), "_p": y})
-    out = explain._fit_group(pdf, 3).set_index("slot")
-    assert list(out.index) == [0, 1, 2]
-    assert out["weight"].to_numpy() == pytest.approx([0.3, -0.2, 0.1], abs=0.01)
-    assert out["r2"].iloc[0] > 0.99 and out["local_prediction"].iloc[0] == pytest.approx(0.3, abs=0.01)
+    return z, 0.1 + z @ np.array([0.3, -0.2, 0.1, 0.0, 0.0, 0.0])
+
+
+def test_local_fit_recovers_linear_weights():
+    z, y = neighbours()
+    used, coef, r2, here = explain._solved(explain._gram(z, y), 3)
+    assert list(used) == [0, 1, 2]
+    assert coef == pytest.approx([0.3, -0.2, 0.1], abs=0.01)
+    assert r2 > 0.99 and here == pytest.approx(0.3, abs=0.01)
+
+
+def test_grams_of_parts_give_the_fit_of_all_rows():
+    z, y = neighbours()
+    y = y + np.random.default_rng(1).normal(0, 0.1, len(y))
+    width = 0.75 * np.sqrt(6)
+    w = np.sqrt(np.exp(-(1 - z).sum(axis=1) / width ** 2))
+
+    def ridge(x, alpha):
+        xm, ym = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+        xc = (x - xm) * w[:, None]
+        coef = np.linalg.solve(xc.T @ (x - xm) + alpha * np.eye(x.shape[1]), xc.T @ (y - ym))
+        return coef, ym - xm @ coef
+
+    first, _ = ridge(z, 0.01)
+    used = np.sort(np.argsort(-np.abs(first))[:4])
+    coef, intercept = ridge(z[:, used], 1.0)
+    fitted = z[:, used] @ coef + intercept
+    r2 = 1 - (w * (y - fitted) ** 2).sum() / (w * (y - np.average(y, weights=w)) ** 2).sum()
+    parts = sum(explain._gram(z[k:k + 300], y[k:k + 300]) for k in range(0, 2000, 300))
+    got = explain._solved(parts, 4)
+    assert list(got[0]) == list(used) and got[1] == pytest.approx(coef)
+    assert got[2:] == (pytest.approx(r2), pytest.approx(fitted[0]))
+
+
+def test_two_models_explain_the_same_neighbours(people):
+    clean = people.dropna().withColumn("label", F.col("target").cast("double"))
+    stage = VectorAssembler(inputCols=["x", "k"], outputCol="features")
+    models = {n: (Pipeline(stages=[stage, train.candidates(2)[n].estimator]).fit(clean), c)
+              for n, c in (("LogisticRegression", "probability"), ("ProbabilityTree", "prediction"))}
+    rows = clean.orderBy("id").limit(3)
+    both = explain.lime_models(rows, models, clean, ["x", "k"], ["color"], 300, 2).toPandas()
+    assert len(both) == 3 * 2 * 2
+    for name, (model, column) in models.items():
+        one = explain.lime_batch(rows, model, clean, ["x", "k"], ["color"], column, 300, 2).toPandas()
+        mine = both[both["model"] == name].drop(columns="model")
+        order = ["id", "slot"]
+        pd.testing.assert_frame_equal(
+            mine.sort_values(order).reset_index(drop=True)[list(one.columns)],
+            one.sort_values(order).reset_index(drop=True))
 
 
 def test_explanations_name_the_driving_feature(spark, people):
