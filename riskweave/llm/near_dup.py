@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import broadcast
 
 from riskweave.llm import near, sketch, text
 from riskweave.operators.ranks import spread_join
@@ -94,7 +95,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         """One text of every class: rows of the class's first doc_id with the first's hash."""
         wanted = near.only_ids(classes.select("id", "doc_id", "tie"), ids)
-        return docs.join(wanted, ["doc_id", "tie"]).groupBy("id").agg(F.first("text").alias("text"))
+        few = ids.count() <= near.BROADCAST_IDS
+        found = docs.join(broadcast(wanted) if few else wanted, ["doc_id", "tie"])
+        return found.groupBy("id").agg(F.first("text").alias("text"))
 
     found = near.link(
         facts.mapInArrow(_bands, near.BANDS_SCHEMA),
