@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.clean import band, percent
 from riskweave.functions.tails import kolmogorov_sf, normal_cdf
-from riskweave.operators.ranks import (cut_points, exact_quantiles, prefix_sums, stacked, top_k,
-                                       unpivot)
+from riskweave.operators.ranks import (cut_points, exact_quantiles, few_groups, prefix_sums, stacked,
+                                       top_k, unpivot)
 from riskweave.operators.split import smallest_hashes
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -253,10 +253,11 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     """Quartiles, whiskers (most extreme values inside the fences) and outlier count."""
     by = list(by)
     keys = [*by, "variable"]
-    fences = _fences(exact_quantiles(df, columns, QUARTILES, by=by, small_groups=not by))
+    few = few_groups(df, by)
+    fences = _fences(exact_quantiles(df, columns, QUARTILES, by=by, small_groups=few))
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    # without groups a row for each listed column; with them as many as there are groups
-    return (unpivot(df, columns, by).join(fences if by else F.broadcast(fences), keys)
+    # a row for each listed column and group; never the rows, whatever the engine takes them for
+    return (unpivot(df, columns, by).join(F.broadcast(fences) if few else fences.hint("merge"), keys)
             .groupBy(*keys).agg(
                 F.count(F.lit(1)).alias("n"),
                 *[F.first(c).alias(c) for c in ("p25", "p50", "p75")],
