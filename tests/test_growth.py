@@ -5,7 +5,8 @@ import re
 import numpy as np
 import pytest
 
-from riskweave.operators import profile, ranks
+from riskweave.functions.hashing import strong_draws
+from riskweave.operators import profile, ranks, resample
 from riskweave.session import materialise
 
 
@@ -34,3 +35,50 @@ def test_box_stats_by_group_never_broadcasts_rows(spark, monkeypatch, limit):
         inside = v[(v >= r["p25"] - 1.5 * (r["p75"] - r["p25"])) & (v <= r["p75"] + 1.5 * (r["p75"] - r["p25"]))]
         assert (r["n"], r["n_outliers"]) == (len(v), len(v) - len(inside))
         assert (r["low_whisker"], r["high_whisker"]) == (inside.min(), inside.max())
+
+
+def test_every_weight_is_drawn_once_for_all_sets_with_few_scores(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    names = [f"s{k}" for k in range(4)]
+    scores = np.round(rng.normal(0, 1, (400, 4)), 1)
+    scores[:130, 0] = 0.5
+    rows = [(i, int(rng.random() < 0.4), *map(float, x)) for i, x in enumerate(scores)]
+    wide = spark.createDataFrame(rows * 2, "id long, label int, " + ", ".join(f"{s} double" for s in names))
+    drawn = spark.sparkContext.accumulator(0)
+
+    def draws(cells, replicates):
+        drawn.add(len(cells) * len(replicates))
+        return strong_draws(cells, replicates)
+
+    def metrics(levels, group=1 << 19):
+        monkeypatch.setattr(resample, "LEVELS", levels)
+        monkeypatch.setattr(resample, "GROUP", group)
+        found = resample.replicate_metrics(wide, names, dict.fromkeys(names, 0.2), 230, draws).collect()
+        return {(r["set"], r["replicate"]): (r["auc"], r["ap"], r["f1"]) for r in found}
+
+    got = metrics(4096)
+    assert drawn.value <= 400 * 231 * 1.05  # before: twice for every set
+    assert len(got) == 4 * 231
+    for levels, group in ((4096, 60), (120, 1 << 19), (0, 1 << 19)):  # some or all sets by buckets
+        other = metrics(levels, group)
+        assert other.keys() == got.keys()
+        for key, value in other.items():
+            assert value == pytest.approx(got[key], rel=1e-9)
+
+
+def test_sums_of_packed_counts_do_not_run_over():
+    rng = np.random.default_rng(2)
+    code = np.sort(rng.integers(0, 5, 9000))
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    order = rng.permutation(9000)
+    for top in (3, 40, 60000):
+        w = rng.integers(0, top, (9000, 8)).astype(np.uint16)
+        assert (resample._added(w, order, starts)
+                == np.add.reduceat(w[order].astype(np.int64), starts, axis=0)).all()
+
+
+@pytest.mark.parametrize("n", [1, 3, 500, 70_000])
+def test_counts_invert_the_distribution_function(n):
+    low, cdf = resample.poisson_cdf(n)
+    u = np.concatenate([np.random.default_rng(1).random(20_000), cdf[cdf < 1], [0.0, 1 - 2.0 ** -53]])
+    assert (resample._counts(u, n) == low + np.searchsorted(cdf, u, side="right")).all()
