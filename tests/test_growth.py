@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from riskweave.functions.hashing import strong_draws
-from riskweave.operators import profile, ranks, resample
+from riskweave.operators import compare, profile, ranks, resample
 from riskweave.session import materialise
 
 
@@ -82,3 +82,16 @@ def test_counts_invert_the_distribution_function(n):
     low, cdf = resample.poisson_cdf(n)
     u = np.concatenate([np.random.default_rng(1).random(20_000), cdf[cdf < 1], [0.0, 1 - 2.0 ** -53]])
     assert (resample._counts(u, n) == low + np.searchsorted(cdf, u, side="right")).all()
+
+
+def test_long_to_wide_groups_once_by_observation(spark):
+    rows = [(p, m, i, i % 2, None if i == 3 and m == "m2" else float(10 * i + k))
+            for i in range(50) for k, (p, m) in enumerate((("a", "m1"), ("a", "m2"), ("b", "m1")))
+            if (i, k) != (7, 2)]
+    long = spark.createDataFrame(rows, "pipeline string, model string, id long, label int, score double")
+    wide = compare.to_wide(long, ["a_m1", "a_m2", "b_m1"])
+    assert wide.columns == ["id", "label", "a_m1", "a_m2", "b_m1"]
+    assert plan(wide).split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+    got = {r["id"]: tuple(r)[1:] for r in wide.collect()}
+    assert got == {i: (i % 2, 10.0 * i, None if i == 3 else 10.0 * i + 1, None if i == 7 else 10.0 * i + 2)
+                   for i in range(50)}
