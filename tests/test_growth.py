@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from riskweave.functions.hashing import strong_draws
-from riskweave.operators import compare, profile, ranks, resample
+from riskweave.operators import compare, profile, ranks, resample, split
+from riskweave.plans import model_queries
 from riskweave.session import materialise
 
 
@@ -95,3 +96,26 @@ def test_long_to_wide_groups_once_by_observation(spark):
     got = {r["id"]: tuple(r)[1:] for r in wide.collect()}
     assert got == {i: (i % 2, 10.0 * i, None if i == 3 else 10.0 * i + 1, None if i == 7 else 10.0 * i + 2)
                    for i in range(50)}
+
+
+def test_split_and_folds_are_assigned_without_a_join_of_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, int(rng.random() < 0.3), float(i % 7)) for i in range(900)],
+                                 "id long, target int, x double")
+    direct = split.with_stratified_split(rows)
+    assert "SortMergeJoin" not in plan(direct).split("Physical Plan")[1]
+    joined = split.attach_split(rows, split.stratified_split(rows))
+    assert sorted(map(tuple, direct.select("id", "target", "x", "split").collect())) == sorted(
+        map(tuple, joined.select("id", "target", "x", "split").collect()))
+
+
+def test_model_input_is_made_where_the_rows_are(spark, monkeypatch):
+    joins = []
+    monkeypatch.setattr(model_queries, "materialise", lambda df, name, *rest: joins.append(
+        plan(df).split("Physical Plan")[1].count("SortMergeJoin")) or materialise(df, name, *rest))
+    monkeypatch.setattr(model_queries, "_SPLIT", {})
+    train_rows, test_rows = model_queries.ml_tables(spark, "/root/testdata/sf0.001")
+    assert joins == [0, 0, 0]  # rows with split, train, test
+    assert train_rows.columns == ["id", "label", "features", "fold"]
+    per = {r["fold"]: r["count"] for r in train_rows.groupBy("fold").count().collect()}
+    assert sorted(per) == [0, 1, 2] and max(per.values()) - min(per.values()) <= 2
