@@ -44,6 +44,26 @@ def test_samples_follow_the_path_weights():
         assert abs(got[path] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-9
 
 
+def test_texts_sampled_together_are_the_texts_sampled_alone():
+    """Paths depend on the row key and the text, not on what else is known or in the batch."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("the aé日\n ,") for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    together = pieces.Lattice(MODEL).sample_many(texts, list(range(50)))
+    alone = pieces.Lattice(MODEL)
+    for k in reversed(range(50)):
+        assert alone.sample(texts[k], k).tolist() == together[k].tolist()
+
+
+def test_edges_of_a_unit_carry_the_path_weights():
+    lattice = pieces.Lattice(MODEL)
+    units = [" thes", "日é", " a", "z" * 300]
+    first, begin, sums, starts, _ = lattice._forward(units)
+    for k, unit in enumerate(units[:3]):
+        last = sums[begin[first[k + 1]] - 1]
+        assert math.isclose(last, sum(paths(lattice, unit).values()), rel_tol=1e-12)
+    assert (sums > 0).all() and (starts[begin[first[:-1]]] == 0).all()
+
+
 def test_round_trip_of_many_texts():
     rng = random.Random(9)
     lattice = pieces.Lattice(MODEL)
