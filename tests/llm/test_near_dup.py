@@ -210,3 +210,30 @@ def test_slices_cover_all_rows():
     rows = [len(o) - 1 for _, _, o in text.slices(column, 10)]
     assert sum(rows) == 7 and [r for r, _, _ in text.slices(column, 10)] == [
         sum(rows[:i]) for i in range(len(rows))]
+
+
+def test_buckets_of_equal_members_are_worked_on_once(spark):
+    """One of several buckets of the same members, and none whose only pair was tested."""
+    from riskweave.llm import near
+
+    keys = spark.createDataFrame([(1, [10, 11, 14]), (2, [10, 11, 14]), (3, [10, 11]), (4, [12, 13]),
+                                  (5, [12, 13])], "id long, keys array<long>")
+    labels = spark.createDataFrame([], "id long, component long")
+    tested = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    rows = near._mixed(keys, labels, tested).collect()
+    buckets = {}
+    for r in rows:
+        buckets.setdefault(r["key"], set()).add(r["id"])
+    assert buckets == {10: {1, 2, 3}, 12: {4, 5}}
+
+
+def test_discard_deletes_only_written_tables(spark):
+    import os
+
+    from riskweave.session import discard, materialise
+
+    table = materialise(spark.range(5), "gone")
+    place = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(place)
+    discard(table)
+    assert not os.path.exists(place)
