@@ -237,3 +237,30 @@ def test_discard_deletes_only_written_tables(spark):
     assert os.path.isdir(place)
     discard(table)
     assert not os.path.exists(place)
+
+
+def test_rest_in_slices_finds_the_same_and_leaves_no_tables(spark, monkeypatch):
+    """Blocks of the rest go in slices; tables that nothing reads any more are deleted."""
+    import os
+
+    from riskweave import session
+    from riskweave.llm import line_dedup, near
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    stems = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(2)]
+    lines = [stem[:a] + rng.choice(letters) * 2 + stem[a:] for stem in stems for a in range(2, 58, 2)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(near, "materialise", lambda df, name: made.append(name) or
+                        session.materialise(df, name))
+    whole = {tuple(r) for r in line_dedup.removed_lines(docs).collect()}
+    once = made.count("more")
+    monkeypatch.setattr(near, "SLICE_ROWS", 5)
+    monkeypatch.setattr(near, "SLICE_SHARE", 3)
+    folder = session.scratch_folder(spark)
+    before = set(os.listdir(folder))
+    assert {tuple(r) for r in line_dedup.removed_lines(docs).collect()} == whole and whole
+    assert once == 1 and made.count("more") > 2
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"lines", "line_classes", "line_texts", "keys", "mixed", "links", "buckets"}
