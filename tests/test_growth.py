@@ -98,6 +98,14 @@ def test_long_to_wide_groups_once_by_observation(spark):
                    for i in range(50)}
 
 
+def test_long_to_wide_does_not_depend_on_the_order_of_repeated_rows(spark):
+    rows = [("a", "m1", 1, 0, 0.2), ("a", "m1", 1, 0, 0.9)]
+    schema = "pipeline string, model string, id long, label int, score double"
+    for some in (rows, rows[::-1]):
+        wide = compare.to_wide(spark.createDataFrame(some, schema).coalesce(1), ["a_m1"])
+        assert [tuple(r) for r in wide.collect()] == [(1, 0, 0.9)]
+
+
 def test_split_and_folds_are_assigned_without_a_join_of_rows(spark):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(i, int(rng.random() < 0.3), float(i % 7)) for i in range(900)],
